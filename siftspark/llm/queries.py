@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm import density, vectors
+from siftspark.llm import density, neardup, vectors
+from siftspark.operators.current import current_wide_rows
 from siftspark.sources.tables import table
 
 DIM = 64  #: numbers of an embedding
@@ -26,6 +27,17 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return density.pairs_of_groups(density.with_copies(labels, routed), "label", "id", "event_a", "event_b")
 
 
+def _post_texts(spark: SparkSession, folder: str) -> DataFrame:
+    posts = current_wide_rows(table(spark, folder, "posts"), "id", "collected_at", ["title", "body"])
+    return posts.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))).alias("text"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of posts of at least 30 words each whose counted words have a similarity of at least 0.7."""
+    pairs, classes = neardup.near_pairs(_post_texts(spark, folder), 0.7, 30)
+    return neardup.expanded(pairs, classes, "post_a", "post_b")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of which one event has the other among its 5 most similar, at a cosine of at least 0.85."""
     near = vectors.nearest(_routed(spark, folder), DIM, NEAREST, LINK)
