@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm import density, neardup, vectors
+from siftspark.llm import density, neardup, pii, vectors
 from siftspark.operators.current import current_wide_rows
 from siftspark.sources.tables import table
 
@@ -38,6 +38,23 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.expanded(pairs, classes, "post_a", "post_b")
 
 
+def _post_fields(spark: SparkSession, folder: str) -> DataFrame:
+    posts = current_wide_rows(table(spark, folder, "posts"), "id", "collected_at", ["title", "body"])
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("title", "body")])
+    return posts.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.text")
+
+
+def p3_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """(post_id, field_name, kinds, masked): both fields of every post with typed placeholders for personal information."""
+    fields = _post_fields(spark, folder)
+    return pii.masked_texts(fields, pii.learn(fields)).select(F.col("id").alias("post_id"), F.col("field").alias("field_name"), "kinds", "masked")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per post, field and kind of personal information held."""
+    return p3_masked(spark, folder).select("post_id", "field_name", F.explode("kinds").alias("pii_kind"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of which one event has the other among its 5 most similar, at a cosine of at least 0.85."""
     near = vectors.nearest(_routed(spark, folder), DIM, NEAREST, LINK)
