@@ -1,3 +1,29 @@
 """DuckDB SQL for those pN_ queries that plain SQL can answer on whole tables."""
 
-SQL: dict[str, str] = {}
+_TRIM = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')".format
+
+
+def _name(column: str, lead: str) -> str:
+    return _TRIM(f"regexp_replace(lower({_TRIM(column)}), '{lead}', '')")
+
+
+_NOW = "(SELECT *, row_number() OVER (PARTITION BY id ORDER BY {at} DESC) AS rn FROM {table} WHERE id IS NOT NULL)"
+_SCORED = f"""
+f AS (SELECT id, {_name('subreddit', '^/?r/')} AS subreddit, pain_score FROM {_NOW.format(at='filtered_at', table='filtered_posts')} WHERE rn = 1),
+p AS (SELECT id, lower({_TRIM('source')}) AS source FROM {_NOW.format(at='collected_at', table='posts')} WHERE rn = 1),
+scored AS (SELECT f.id, p.source, f.subreddit, f.pain_score, k.keep_permille FROM f JOIN p USING (id) JOIN keep_targets k ON k.source = p.source
+  WHERE f.subreddit <> '' AND f.pain_score BETWEEN 0 AND 1),
+n AS (SELECT source, subreddit, count(*) AS n, (count(*) * max(keep_permille) + 999) // 1000 AS target FROM scored GROUP BY 1, 2),
+ranked AS (SELECT s.*, row_number() OVER (PARTITION BY source, subreddit ORDER BY pain_score DESC, id) AS r FROM scored s),
+cutoff AS (SELECT source, subreddit, n.n, n.target, min(pain_score) AS cutoff FROM ranked JOIN n USING (source, subreddit) WHERE r <= target GROUP BY 1, 2, 3, 4)"""
+_AUTHORS = f"""
+a AS (SELECT id, {_name('author', '^u/')} AS author, pain_score FROM {_NOW.format(at='filtered_at', table='filtered_posts')} WHERE rn = 1),
+placed AS (SELECT id AS post_id, author, row_number() OVER (PARTITION BY author ORDER BY pain_score DESC, id) AS position
+  FROM a WHERE author NOT IN ('', '[deleted]') AND pain_score BETWEEN 0 AND 1)"""
+
+SQL: dict[str, str] = {
+    "p5_cutoffs": f"WITH {_SCORED} SELECT c.source, c.subreddit, c.n, c.target, c.cutoff, count(*) AS kept FROM cutoff c JOIN scored s ON s.source = c.source AND s.subreddit = c.subreddit AND s.pain_score >= c.cutoff GROUP BY ALL",
+    "p5_found": f"WITH {_SCORED} SELECT id AS post_id FROM scored JOIN cutoff USING (source, subreddit) WHERE pain_score >= cutoff",
+    "p6_found": f"WITH {_AUTHORS} SELECT post_id FROM placed WHERE position > 5",
+    "p6_kept": f"WITH {_AUTHORS} SELECT post_id, author, position FROM placed WHERE position <= 5",
+}

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm import density, neardup, pii, vectors
-from siftspark.operators.current import current_wide_rows
+from siftspark.llm import capping, cutoffs, density, neardup, pii, vectors
+from siftspark.functions.names import author_name, source_name, subreddit_name
+from siftspark.operators.current import current_rows, current_wide_rows
+from siftspark.plans.bounds import bounded
+from siftspark.plans.scratch import cut
 from siftspark.sources.tables import table
 
 DIM = 64  #: numbers of an embedding
@@ -70,6 +73,47 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("a").alias("event_id"), F.col("b").alias("neighbour"), F.round("w", 6).alias("cosine"), place.alias("place"))
 
 
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, subreddit, id, pain_score, keep_permille) of the rows problem 5 is about."""
+    rows = current_rows(table(spark, folder, "filtered_posts"), "id", "filtered_at", ["subreddit", "pain_score"])
+    rows = rows.select("id", subreddit_name(F.col("subreddit")).alias("subreddit"), "pain_score").filter((F.col("subreddit") != "") & F.col("pain_score").between(0, 1))
+    posts = current_rows(table(spark, folder, "posts"), "id", "collected_at", ["source"]).select("id", source_name(F.col("source")).alias("source"))
+    targets = table(spark, folder, "keep_targets").select(source_name(F.col("source")).alias("source"), "keep_permille").dropDuplicates(["source"])
+    return cut(rows.join(posts, "id").join(bounded(targets), "source"))
+
+
+def p5_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, subreddit, n, target, cutoff, kept) per group."""
+    return cutoffs.cutoffs(_scored(spark, folder), ["source", "subreddit"], "pain_score", "keep_permille")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts with a score at or above the cutoff of their source and subreddit."""
+    rows = _scored(spark, folder)
+    limits = cutoffs.cutoffs(rows, ["source", "subreddit"], "pain_score", "keep_permille").select("source", "subreddit", "cutoff")
+    return rows.join(bounded(cut(limits)), ["source", "subreddit"]).filter("pain_score >= cutoff").select(F.col("id").alias("post_id"))
+
+
+#: Records an author keeps.
+CAP = 5
+
+
+def _positions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = current_rows(table(spark, folder, "filtered_posts"), "id", "filtered_at", ["author", "pain_score"])
+    rows = rows.select("id", author_name(F.col("author")).alias("author"), "pain_score").filter(~F.col("author").isin("", "[deleted]") & F.col("pain_score").between(0, 1))
+    return capping.positions(rows, "author", "pain_score", "id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts beyond the 5 best of their author."""
+    return _positions(spark, folder).filter(F.col("position") > CAP).select(F.col("id").alias("post_id"))
+
+
+def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """(post_id, author, position): the posts that remain, at most 5 an author."""
+    return _positions(spark, folder).filter(F.col("position") <= CAP).select(F.col("id").alias("post_id"), "author", "position")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
