@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm import capping, cutoffs, density, neardup, pii, vectors
+from siftspark.llm import bpe, capping, cutoffs, density, leaks, neardup, pii, vectors
 from siftspark.functions.names import author_name, source_name, subreddit_name
 from siftspark.operators.current import current_rows, current_wide_rows
 from siftspark.plans.bounds import bounded
@@ -114,6 +114,22 @@ def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
     return _positions(spark, folder).filter(F.col("position") <= CAP).select(F.col("id").alias("post_id"), "author", "position")
 
 
+def p8_ids(spark: SparkSession, folder: str, tokenizers: str = bpe.FOLDER) -> DataFrame:
+    """(doc_id, ids) of each document by byte_bpe_50k; an empty list for an empty and for a null text."""
+    ranks = bpe.read_ranks(f"{tokenizers}/byte_bpe_50k.tiktoken")
+    return bpe.encoded(table(spark, folder, "documents"), "doc_id", "text", ranks)
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, item_id, exact, altered, changed): windows of 13 words shared word by word, and with other numbers, names or units."""
+    return leaks.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with at least 13 consecutive words of an item's passage."""
+    return p9_leaks(spark, folder).filter("exact > 0").select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
