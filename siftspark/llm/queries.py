@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm import bpe, capping, cutoffs, density, leaks, neardup, pii, vectors
+from siftspark.llm import bpe, capping, cutoffs, density, leaks, neardup, pii, subjects, vectors
 from siftspark.functions.names import author_name, source_name, subreddit_name
 from siftspark.operators.current import current_rows, current_wide_rows
 from siftspark.plans.bounds import bounded
@@ -130,6 +130,25 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_leaks(spark, folder).filter("exact > 0").select("doc_id", "item_id").distinct()
 
 
+def p10_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, subjects, mentions) of every document."""
+    known = subjects.labelled(table(spark, folder, "subject_examples"), "example_id", "text", "subjects")
+    return subjects.classified(table(spark, folder, "documents"), "doc_id", "text", known).withColumnRenamed("key", "doc_id")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document and subject area."""
+    return p10_subjects(spark, folder).select("doc_id", F.explode("subjects").alias("subject"))
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """(subject, documents, share): the corpus by subject; documents of two subjects count for both, share is of all documents."""
+    every = cut(p10_subjects(spark, folder))
+    total = every.count()
+    named = every.select(F.explode("subjects").alias("subject")).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+    return named.withColumn("share", F.round(F.col("documents") / max(1, total), 6))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
