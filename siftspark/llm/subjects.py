@@ -22,11 +22,15 @@ from siftspark.plans.scratch import cut
 EXAMPLES = 20_000  #: most labelled texts the classifier is fitted on, least ids first
 VOCABULARY = 50_000  #: most terms, those in most labelled texts first
 DIMENSIONS = 1500  #: terms that span the vectors for clustering
-LEAVES = 100  #: leaves stop splitting at a LEAVES-th of the documents
-LEVELS, STEPS = 8, 3  #: of splits, and k-means passes per level
+REPEATED = 10_000  #: most further words, of those that repeat inside documents
+BURST = 1.4  #: mean occurrences in the documents that hold a word, from which it counts as repeating
+LEAVES = 250  #: leaves stop splitting at a LEAVES-th of the documents
+LEVELS, STEPS = 9, 3  #: of splits, and k-means passes per level
+BURST_WEIGHT = 1.0  #: of a repeating word in the vectors, beside what the labels tell
 LEAF_WEIGHT = 2.0  #: labelled texts that the prior from the leaves counts for
 SURE = 0.5  #: probability from which a term speaks for a subject
 MENTIONS, SHARE = 3, 0.2  #: a subject needs so many mentions and such a share of all mentions
+MOST = 2  #: subjects of a document, those with most mentions
 _PIECE = re.compile(r"[.!?\n,;:]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -50,6 +54,48 @@ class Labelled:
     counts: np.ndarray  #: texts that hold a term, by subject; texts of two subjects count half for each
     totals: np.ndarray  #: texts that hold a term
     prior: np.ndarray
+    burst: np.ndarray  #: how far a term repeats inside documents of the corpus, 0 to 1; 0 where unknown
+
+
+def repeating(docs: DataFrame, text: str, known: Labelled) -> Labelled:
+    """``known`` with the words of the corpus, labelled or not, that documents tend to repeat, as words of their subject are.
+
+    Counts cover all documents; the vocabulary grows by at most ``REPEATED`` words.
+    """
+
+    def count(batches):
+        seen: dict[str, list[int]] = {}
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                mine: dict[str, int] = {}
+                for w in _WORD.findall(x.lower()) if x else ():
+                    mine[w] = mine.get(w, 0) + 1
+                for w, n in mine.items():
+                    both = seen.setdefault(w, [0, 0])
+                    both[0] += 1
+                    both[1] += n
+            if len(seen) > 300_000:
+                yield _rows(seen)
+                seen = {}
+        yield _rows(seen)
+
+    words = docs.select(F.col(text).alias("text")).mapInArrow(count, "w string, df long, tf long").groupBy("w").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    often = words.filter((F.col("df") >= 5) & (F.col("tf") >= BURST * F.col("df")) & ~F.col("w").rlike("^[0-9]+$"))
+    rows = often.orderBy(F.desc("df"), "w").limit(REPEATED).collect()
+    vocabulary = dict(known.vocabulary)
+    for r in rows:
+        vocabulary.setdefault(r["w"], len(vocabulary))
+    more = len(vocabulary) - len(known.vocabulary)
+    burst = np.zeros(len(vocabulary))
+    for r in rows:
+        burst[vocabulary[r["w"]]] = min(1.0, r["tf"] / r["df"] - 1)
+    counts = np.concatenate([known.counts, np.zeros((more, len(known.subjects)))])
+    return Labelled(known.subjects, vocabulary, counts, np.append(known.totals, np.zeros(more)), known.prior, burst)
+
+
+def _rows(seen: dict[str, list[int]]) -> pa.RecordBatch:
+    df, tf = ([v[i] for v in seen.values()] for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(df, pa.int64()), pa.array(tf, pa.int64())], names=["w", "df", "tf"])
 
 
 def labelled(examples: DataFrame, key: str, text: str, subjects: str) -> Labelled:
@@ -61,7 +107,7 @@ def labelled(examples: DataFrame, key: str, text: str, subjects: str) -> Labelle
     for h in held:
         for t in h:
             seen[t] = seen.get(t, 0) + 1
-    kept = sorted((t for t, n in seen.items() if n >= 2), key=lambda t: (-seen[t], t))[:VOCABULARY]
+    kept = sorted((t for t, n in seen.items() if n >= 1), key=lambda t: (-seen[t], t))[:VOCABULARY]
     vocabulary = {t: i for i, t in enumerate(kept)}
     counts, totals, prior = np.zeros((len(kept), len(names))), np.zeros(len(kept)), np.zeros(len(names))
     for r, h in zip(rows, held):
@@ -71,7 +117,7 @@ def labelled(examples: DataFrame, key: str, text: str, subjects: str) -> Labelle
         for s in mine:
             counts[ids, s] += 1 / len(mine)
             prior[s] += 1 / len(mine)
-    return Labelled(names, vocabulary, counts, totals, prior / max(1, len(rows)) + 1e-9)
+    return Labelled(names, vocabulary, counts, totals, prior / max(1, len(rows)) + 1e-9, np.zeros(len(kept)))
 
 
 def _sparse(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int]) -> DataFrame:
@@ -199,6 +245,7 @@ def classified(docs: DataFrame, key: str, text: str, known: Labelled) -> DataFra
     and in the counts of terms by leaf.
     """
     spark = docs.sparkSession
+    known = repeating(docs, text, known)
     size, k = len(known.vocabulary), len(known.subjects)
     sparse = cut(_sparse(docs.filter(F.col(key).isNotNull()), key, text, known.vocabulary))
     if not size or not k:
@@ -206,13 +253,14 @@ def classified(docs: DataFrame, key: str, text: str, known: Labelled) -> DataFra
     flat = (known.counts + 2 * known.prior) / (known.totals[:, None] + 2)
     gain = (flat * np.log(np.maximum(flat / known.prior, 1e-9))).sum(axis=1)
     gain = np.maximum(0, gain - 0.5 * (k - 1) / (2 * (known.totals + 2)))
-    top = np.argsort(-gain * np.minimum(known.totals, 6), kind="stable")[:DIMENSIONS]
-    top = top[gain[top] > 0]
+    pull = gain + BURST_WEIGHT * known.burst
+    top = np.argsort(-(gain * np.minimum(known.totals, 6) + 6 * BURST_WEIGHT * known.burst), kind="stable")[:DIMENSIONS]
+    top = top[pull[top] > 0]
     if not len(top):
         top = np.array([0])
     place = np.full(size, -1)
     place[top] = np.arange(len(top))
-    weight = gain[top].astype(np.float32)
+    weight = pull[top].astype(np.float32)
     tree = _grow(sparse, place, weight)
 
     shared = spark.sparkContext.broadcast((tree, place, weight))
@@ -258,7 +306,8 @@ def classified(docs: DataFrame, key: str, text: str, known: Labelled) -> DataFra
             mix = np.zeros((len(sizes), len(names)), np.int64)
             np.add.at(mix, (row[s >= 0], s[s >= 0]), 1)
             total = mix.sum(axis=1)
-            yes = (mix >= MENTIONS) & (mix >= SHARE * total[:, None])
+            place_in_mix = np.argsort(np.argsort(-mix, axis=1, kind="stable"), axis=1)
+            yes = (mix >= MENTIONS) & (mix >= SHARE * total[:, None]) & (place_in_mix < MOST)
             found = [[names[j] for j in np.flatnonzero(y)] for y in yes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), pa.array(total)], names=["key", "subjects", "mentions"])
 
