@@ -30,6 +30,24 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return density.pairs_of_groups(density.with_copies(labels, routed), "label", "id", "event_a", "event_b")
 
 
+#: Of a cluster: nearest events that make one dense (itself included), least size, exemplars.
+MIN_SAMPLES, LEAST, EXEMPLARS = 3, 5, 5
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """(cluster_id, size, stability, exemplars, typical_problem): dense clusters of at least 5 events, most typical first; the problem text of the most typical."""
+    found, _ = density.clusters(_routed(spark, folder), DIM, MIN_SAMPLES, LINK, LEAST, EXEMPLARS)
+    problems = current_rows(table(spark, folder, "pain_events"), "id", "extracted_at", ["problem"]).select(F.col("id").alias("first"), "problem")
+    named = found.withColumn("first", F.try_element_at("exemplars", F.lit(1))).join(problems, "first", "left")
+    return named.select("cluster_id", "size", F.round("stability", 6).alias("stability"), "exemplars", F.col("problem").alias("typical_problem"))
+
+
+def p1_members(spark: SparkSession, folder: str) -> DataFrame:
+    """(event_id, cluster_id): the members of the clusters of p1_clusters."""
+    _, members = density.clusters(_routed(spark, folder), DIM, MIN_SAMPLES, LINK, LEAST, EXEMPLARS)
+    return members.withColumnRenamed("id", "event_id")
+
+
 def _post_texts(spark: SparkSession, folder: str) -> DataFrame:
     posts = current_wide_rows(table(spark, folder, "posts"), "id", "collected_at", ["title", "body"])
     return posts.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))).alias("text"))
