@@ -26,7 +26,7 @@ def p7_kept_shares(spark: SparkSession, folder: str) -> DataFrame:
     """(subreddit, posts, kept, pain): per subreddit of posts the posts, those also in filtered_posts under that name, and their mean pain_score to 4 digits."""
     posts = _named(current_rows(table(spark, folder, "posts"), "id", "collected_at", ["subreddit"]))
     kept = _named(current_rows(table(spark, folder, "filtered_posts"), "id", "filtered_at", ["subreddit", "pain_score"]))
-    kept = kept.groupBy("subreddit").agg(F.count(F.lit(1)).alias("kept"), F.round(F.avg("pain_score"), 4).alias("pain"))
+    kept = kept.groupBy("subreddit").agg(F.count(F.lit(1)).alias("kept"), F.round(F.avg("pain_score") + 1e-9, 4).alias("pain"))
     joined = join_by_load(posts.select("id", "subreddit"), kept, "subreddit", "id", "left")
     return joined.groupBy("subreddit").agg(F.count(F.lit(1)).alias("posts"), F.coalesce(F.max("kept"), F.lit(0).cast("long")).alias("kept"), F.max("pain").alias("pain"))
 
@@ -53,7 +53,7 @@ SELECT subreddit, id AS post_id FROM (
 WITH {_POSTS},
 kept AS (SELECT {_name_sql('subreddit')} AS subreddit, pain_score FROM
   (SELECT *, row_number() OVER (PARTITION BY id ORDER BY filtered_at DESC) AS rn FROM filtered_posts WHERE id IS NOT NULL) WHERE rn = 1),
-agg AS (SELECT subreddit, count(*) AS kept, round(avg(pain_score), 4) AS pain FROM kept WHERE subreddit <> '' GROUP BY 1)
+agg AS (SELECT subreddit, count(*) AS kept, round(avg(pain_score) + 1e-9, 4) AS pain FROM kept WHERE subreddit <> '' GROUP BY 1)
 SELECT p.subreddit, count(*) AS posts, coalesce(max(a.kept), 0) AS kept, max(a.pain) AS pain
 FROM posts_now p LEFT JOIN agg a ON a.subreddit = p.subreddit WHERE p.subreddit <> '' GROUP BY 1""",
 }
