@@ -21,9 +21,20 @@ a AS (SELECT id, {_name('author', '^u/')} AS author, pain_score FROM {_NOW.forma
 placed AS (SELECT id AS post_id, author, row_number() OVER (PARTITION BY author ORDER BY pain_score DESC, id) AS position
   FROM a WHERE author NOT IN ('', '[deleted]') AND pain_score BETWEEN 0 AND 1)"""
 
+_VECTORS = """v AS (SELECT pain_event_id AS id, CAST(embedding_vector AS DOUBLE[]) AS v FROM (SELECT *, row_number() OVER (PARTITION BY pain_event_id ORDER BY created_at DESC) AS rn FROM pain_embeddings)
+  WHERE rn = 1 AND pain_event_id IS NOT NULL AND embedding_vector IS NOT NULL AND len(embedding_vector) = 64
+  AND len(list_filter(embedding_vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding_vector, lambda x: x <> 0)) > 0)"""
+_EDGES = "e AS MATERIALIZED (SELECT * FROM (SELECT p.id AS a, q.id AS b, round(list_cosine_similarity(p.v, q.v), 12) AS c FROM v p JOIN v q ON p.id <> q.id) WHERE c >= 0.85)"
+_RUNS = "SELECT id, array_to_string(list_slice(w, k, k + 12), ' ') AS w FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS k FROM (SELECT {key} AS id, regexp_extract_all(lower({text}), '[a-z0-9]+') AS w FROM {table}) WHERE len(w) >= 13)"
+_WINDOWS = f"dw AS ({_RUNS.format(key='doc_id', text='text', table='documents')}), iw AS ({_RUNS.format(key='item_id', text='passage', table='eval_items')})"
+
 SQL: dict[str, str] = {
     "p5_cutoffs": f"WITH {_SCORED} SELECT c.source, c.subreddit, c.n, c.target, c.cutoff, count(*) AS kept FROM cutoff c JOIN scored s ON s.source = c.source AND s.subreddit = c.subreddit AND s.pain_score >= c.cutoff GROUP BY ALL",
     "p5_found": f"WITH {_SCORED} SELECT id AS post_id FROM scored JOIN cutoff USING (source, subreddit) WHERE pain_score >= cutoff",
     "p6_found": f"WITH {_AUTHORS} SELECT post_id FROM placed WHERE position > 5",
     "p6_kept": f"WITH {_AUTHORS} SELECT post_id, author, position FROM placed WHERE position <= 5",
+    "p1_found": f"WITH RECURSIVE {_VECTORS}, {_EDGES}, reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b) SELECT a AS event_a, b AS event_b FROM reach WHERE a < b",
+    "p4_found": f"WITH {_VECTORS}, {_EDGES}, top AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM e) WHERE r <= 5) SELECT DISTINCT least(a, b) AS event_a, greatest(a, b) AS event_b FROM top",
+    "p4_neighbours": f"WITH {_VECTORS}, {_EDGES} SELECT * FROM (SELECT a AS event_id, b AS neighbour, round(c, 6) AS cosine, CAST(row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS INT) AS place FROM e) WHERE place <= 5",
+    "p9_found": f"WITH {_WINDOWS} SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM dw d JOIN iw i ON i.w = d.w",
 }

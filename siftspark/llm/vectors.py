@@ -30,39 +30,41 @@ _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the usable rows, and a mask of these: right length, no null or NaN, finite, not all zero."""
+    """The usable rows as float32, and a mask of these: right length, no null or NaN, finite, not all zero."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     lengths = np.asarray(pa.compute.list_value_length(col).fill_null(-1))
     right = lengths == dim
     flat = col.filter(pa.array(right)).flatten()
-    x = np.asarray(flat.cast(pa.float64()).fill_null(math.nan)).reshape(-1, dim)
-    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        scale = np.abs(x).max(axis=1, initial=0)
-        unit = x / scale[:, None]
-        norm = np.sqrt((unit * unit).sum(axis=1))
-        ok = np.isfinite(x).all(axis=1) & (scale > 0)
-        unit = (unit / norm[:, None]).astype(np.float32)
+    with np.errstate(over="ignore"):
+        x = np.asarray(flat.cast(pa.float64()).fill_null(math.nan)).reshape(-1, dim).astype(np.float32)
+    ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
     mask = right.copy()
     mask[right] = ok
-    return unit[ok], mask
+    return x[ok], mask
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """The rows scaled to length 1, for hashing and for single-precision products."""
+    wide = x.astype(np.float64)
+    return (wide / np.sqrt((wide * wide).sum(axis=1))[:, None]).astype(np.float32)
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, at: str, dim: int) -> DataFrame:
-    """(id, v): the current row of each key, its vector scaled to length 1, as float32 bytes.
+    """(id, v): the current row of each key, its vector as float32 bytes.
 
     Null keys, and vectors that are null, of another length, all zero, or hold a null, NaN or
     infinity are left out. Empty in, empty out; other columns are ignored.
     """
     rows = current_wide_rows(df, key, at, [vector]).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
 
-    def scale(batches):
+    def pack(batches):
         for batch in batches:
             x, mask = _matrix(batch.column(1), dim)
             ids = batch.column(0).filter(pa.array(mask))
             yield pa.RecordBatch.from_arrays([ids, _binary(x)], names=["id", "v"])
 
-    return rows.mapInArrow(scale, "id long, v binary")
+    return rows.mapInArrow(pack, "id long, v binary")
 
 
 def _binary(x: np.ndarray) -> pa.Array:
@@ -153,7 +155,7 @@ def route(vectors: DataFrame, dim: int, n: int, cell_rows: int = CELL_ROWS) -> R
                 h = [(bits * m).sum(axis=1) for m in mix]
                 h = [((a ^ (a >> np.uint64(31))) * _K2).astype(np.int64) for a in h]
             ids = np.asarray(batch.column(0))
-            rows, cells = routing.cells(x, ids)
+            rows, cells = routing.cells(_units(x), ids)
             order = np.argsort(rows, kind="stable")
             counts = np.bincount(rows, minlength=len(x))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(cells[order]))
@@ -186,7 +188,7 @@ def _sent(vectors: DataFrame, routing: Routing, dim: int, whole: bool) -> DataFr
             if not len(x):
                 continue
             ids = np.asarray(batch.column(0))
-            rows, cells = routing.cells(x, ids)
+            rows, cells = routing.cells(_units(x), ids)
             columns = [pa.array(cells), pa.array(ids[rows]), _binary(x[rows])] if whole else [pa.array(cells)]
             yield pa.RecordBatch.from_arrays(columns, names=["cell", "id", "v"][: len(columns)])
 
@@ -231,7 +233,7 @@ def top_in_cell(ids: np.ndarray, x: np.ndarray, k: int, floor: float) -> tuple[n
         keep = np.arange(len(a)) - first < k
         best[0], best[1] = codes[keep], cos[keep]
 
-    _pairs(x, floor, reduce)
+    _pairs(_units(x), floor, reduce)
     return ids[best[0] // n], ids[best[0] % n], best[1]
 
 
@@ -283,7 +285,7 @@ def forest_in_cell(ids: np.ndarray, x: np.ndarray, floor: float, core: np.ndarra
         order = np.argsort(codes[e])
         kept[0], kept[1] = codes[e][order], w[e][order]
 
-    _pairs(x, floor, reduce)
+    _pairs(_units(x), floor, reduce)
     return ids[kept[0] // n], ids[kept[0] % n], kept[1]
 
 
