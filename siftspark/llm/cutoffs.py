@@ -24,7 +24,7 @@ def cutoffs(scores: DataFrame, group: list[str], score: str, permille: str) -> D
     usable = F.col(score).isNotNull() & ~F.isnan(score) & F.col(permille).isNotNull()
     for g in group:
         usable &= F.col(g).isNotNull()
-    rows = scores.filter(usable)
+    rows = scores.filter(usable).select(*group, score, permille)
     state = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max(permille).alias("__p"), F.min(score).alias("lo"), F.max(score).alias("hi"))
     state = state.withColumn("target", F.expr("(n * __p + 999) div 1000")).drop("__p")
     state = cut(state.withColumn("above", F.lit(0).cast("long")))
