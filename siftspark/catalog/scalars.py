@@ -116,3 +116,34 @@ def x37(t):
     first = F.sort_array(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "problem"))))
     g = e.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(first, lambda x: x["problem"]), " | ").alias("summary"))
     return g.select("cluster_id", F.concat(F.lit("Cluster with "), F.col("n").cast("string"), F.lit(" pain events")).alias("title"), "summary")
+
+
+@query("x09_market_size", "SELECT e.cluster_id, round(least(least(count(DISTINCT f.author) / 10.0, 5) + least(1.5 * count(DISTINCT f.subreddit), 5), 10) + 1e-9, 6) AS score FROM events_now e JOIN filtered_now f ON f.id = e.post_id WHERE e.cluster_id IS NOT NULL GROUP BY 1")
+def x09(t):
+    f = t.filtered("author", "subreddit").select(F.col("id").alias("post_id"), "author", "subreddit")
+    e = t.events("cluster_id", "post_id").filter("cluster_id IS NOT NULL").join(f, "post_id")
+    size = F.least(F.countDistinct("author") / 10, F.lit(5.0)) + F.least(1.5 * F.countDistinct("subreddit"), F.lit(5.0))
+    return e.groupBy("cluster_id").agg(F.round(F.least(size, F.lit(10.0)) + 1e-9, 6).alias("score"))
+
+
+@query("x25_json_repair", "SELECT id, json_valid(platform_data) AS valid FROM posts_now WHERE platform_data IS NOT NULL")
+def x25(t):
+    return t.posts("platform_data").filter("platform_data IS NOT NULL").select("id", F.try_parse_json("platform_data").isNotNull().alias("valid"))
+
+
+@query("x31_workaround_sentence", "SELECT id, trim(list_filter(string_split(context, '.'), lambda s: contains(lower(s), 'workaround'))[1]) AS sentence FROM events_now WHERE contains(lower(context), 'workaround')")
+def x31(t):
+    e = t.events("context").filter(F.lower("context").contains("workaround"))
+    first = F.filter(F.split("context", r"\."), lambda s: F.lower(s).contains("workaround"))
+    return e.select("id", F.trim(F.try_element_at(first, F.lit(1))).alias("sentence"))
+
+
+@query("x35_compact_summary", "SELECT cluster_id, count(*) AS events, string_agg(substr(problem, 1, 200), ' | ' ORDER BY extraction_confidence DESC NULLS LAST, id) AS text FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY extraction_confidence DESC NULLS LAST, id) AS r FROM events_now WHERE cluster_id IS NOT NULL AND problem IS NOT NULL) WHERE r <= 20 GROUP BY 1")
+def x35(t):
+    from pyspark.sql import Window
+
+    e = t.events("cluster_id", "problem", "extraction_confidence").filter("cluster_id IS NOT NULL AND problem IS NOT NULL")
+    r = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc_nulls_last("extraction_confidence"), "id"))
+    e = e.withColumn("r", r).filter("r <= 20")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("r", F.substring("problem", 1, 200).alias("p")))), lambda s: s["p"])
+    return e.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("events"), F.array_join(parts, " | ").alias("text"))

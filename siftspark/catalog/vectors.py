@@ -61,3 +61,43 @@ def g26(t):
     v, c = F.col("v"), F.col("m")
     cos = dot(v, c) / (F.sqrt(dot(v, v)) * F.sqrt(dot(c, c)))
     return rows.join(m, "cluster_id").groupBy("cluster_id").agg(F.round(F.avg(cos), 6).alias("cohesion"))
+
+
+_VOTE = f"""WITH {_V}, active AS (SELECT v.*, e.cluster_id FROM v JOIN events_now e ON e.id = v.id WHERE e.lifecycle_stage = 'active' AND e.cluster_id IS NOT NULL),
+q AS (SELECT v.* FROM v JOIN events_now e ON e.id = v.id WHERE e.cluster_id IS NULL AND e.id % 20 = 0),
+near AS (SELECT q.id AS query, a.cluster_id, round(list_cosine_similarity(q.v, a.v), 12) AS c, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.v, a.v), 12) DESC, a.id) AS n FROM q JOIN active a ON a.id <> q.id),
+votes AS (SELECT query, cluster_id, avg(c) + ln(count(*) + 1) / 10 AS s FROM near WHERE n <= 20 GROUP BY 1, 2)
+SELECT query AS id, arg_min(cluster_id, struct_pack(a := -round(s, 9), b := cluster_id)) AS cluster_id FROM votes GROUP BY 1 HAVING max(round(s, 9)) >= 0.75"""
+
+
+@query("st02_neighbour_vote", _VOTE)
+def st02(t):
+    """For every unclustered event whose id is divisible by 20 the cluster its 20 nearest active events vote for."""
+    e = t.events("lifecycle_stage", "cluster_id")
+    active = e.filter("lifecycle_stage = 'active' AND cluster_id IS NOT NULL").select("id", "cluster_id")
+    asked = e.filter("cluster_id IS NULL AND id % 20 = 0").select("id")
+    near = V.search(_vectors(t).join(asked, "id", "left_semi"), _vectors(t).join(active, "id", "left_semi"), DIM, 20)
+    votes = near.join(active, "id").groupBy("query", "cluster_id").agg(F.round(F.avg("cosine") + F.log(F.count(F.lit(1)) + 1) / 10, 9).alias("s"))
+    best = votes.groupBy(F.col("query").alias("id")).agg(F.max(F.struct("s", (-F.col("cluster_id")).alias("c"))).alias("m"))
+    return best.filter(F.col("m.s") >= 0.75).select("id", (-F.col("m.c")).alias("cluster_id"))
+
+
+@query("st03_formation_neighbours", f"""WITH {_V}, orphan AS (SELECT v.*, e.extracted_at FROM v JOIN events_now e ON e.id = v.id WHERE e.cluster_id IS NULL AND e.extracted_at IS NOT NULL),
+near AS (SELECT q.id, r.id AS neighbour, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.v, r.v), 12) DESC, r.id) AS n, r.extracted_at >= q.extracted_at - INTERVAL 24 HOUR AS recent, list_cosine_similarity(q.v, r.v) AS c FROM orphan q JOIN orphan r ON r.id <> q.id WHERE q.id % 20 = 0)
+SELECT id, count(*) AS neighbours FROM near WHERE n <= 50 AND c >= 0.7 AND recent GROUP BY 1""")
+def st03(t):
+    """Of every unclustered event whose id is divisible by 20: how many of its 50 nearest unclustered events are similar and no more than 24 hours older."""
+    at = t.events("cluster_id", "extracted_at").filter("cluster_id IS NULL AND extracted_at IS NOT NULL").select("id", "extracted_at")
+    orphans = _vectors(t).join(at, "id", "left_semi")
+    near = V.search(orphans.filter("id % 20 = 0"), orphans, DIM, 50, 0.7)
+    both = near.join(at, "id").join(at.select(F.col("id").alias("query"), F.col("extracted_at").alias("asked")), "query")
+    recent = both.filter("extracted_at >= asked - INTERVAL 24 HOUR")
+    return recent.groupBy(F.col("query").alias("id")).agg(F.count(F.lit(1)).alias("neighbours"))
+
+
+@query("j17_similar_centroids", f"""WITH {_CV}, {_MEAN}, l AS (SELECT cluster_id AS id, list(mean ORDER BY d) AS v FROM m GROUP BY 1)
+SELECT id, other FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.id) AS r FROM l a JOIN l b ON a.id <> b.id) WHERE r = 1""")
+def j17(t):
+    """The most similar other centroid of every cluster."""
+    m = V.centroids(_clustered(t), "cluster_id", "v").groupBy(F.col("cluster_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "mean"))), lambda s: s["mean"]).alias("v"))
+    return V.search(m, m, DIM, 1).select(F.col("query").alias("id"), F.col("id").alias("other"))
