@@ -37,4 +37,6 @@ SQL: dict[str, str] = {
     "p4_found": f"WITH {_VECTORS}, {_EDGES}, top AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM e) WHERE r <= 5) SELECT DISTINCT least(a, b) AS event_a, greatest(a, b) AS event_b FROM top",
     "p4_neighbours": f"WITH {_VECTORS}, {_EDGES} SELECT * FROM (SELECT a AS event_id, b AS neighbour, round(c, 6) AS cosine, CAST(row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS INT) AS place FROM e) WHERE place <= 5",
     "p9_found": f"WITH {_WINDOWS} SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM dw d JOIN iw i ON i.w = d.w",
+    "v07_dbscan": f"WITH RECURSIVE {_VECTORS}, {_EDGES}, reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b) SELECT a AS event_id, least(a, min(b)) AS label FROM reach GROUP BY a",
+    "v08_vector_clusters": f"WITH RECURSIVE {_VECTORS}, {_EDGES}, reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b) SELECT label, count(*) AS size FROM (SELECT a, least(a, min(b)) AS label FROM reach GROUP BY a) GROUP BY 1",
 }

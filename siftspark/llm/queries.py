@@ -48,6 +48,27 @@ def p1_members(spark: SparkSession, folder: str) -> DataFrame:
     return members.withColumnRenamed("id", "event_id")
 
 
+def v07_dbscan(spark: SparkSession, folder: str) -> DataFrame:
+    """(event_id, label): density clustering at cosine distance 0.15 with two samples; a label is the least id of its group, noise is left out."""
+    routed = _routed(spark, folder)
+    _, labels = density.spanning_tree(density.reachability_edges(routed, DIM, 2, LINK))
+    members = cut(density.with_copies(labels, routed))
+    least = members.groupBy("label").agg(F.min("id").alias("least"))
+    return members.join(least, "label").select(F.col("id").alias("event_id"), F.col("least").alias("label"))
+
+
+def v08_vector_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """(label, size) of the groups of v07_dbscan."""
+    return v07_dbscan(spark, folder).groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+
+
+def v09_clusters_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, label, size): the groups of v07_dbscan by the source of their events, of at least 4 events."""
+    source = current_rows(table(spark, folder, "pain_events"), "id", "extracted_at", ["source_type"]).select(F.col("id").alias("event_id"), F.coalesce("source_type", F.lit("post")).alias("source"))
+    sizes = v07_dbscan(spark, folder).join(source, "event_id").groupBy("source", "label").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.filter("size >= 4")
+
+
 def _post_texts(spark: SparkSession, folder: str) -> DataFrame:
     posts = current_wide_rows(table(spark, folder, "posts"), "id", "collected_at", ["title", "body"])
     return posts.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))).alias("text"))
@@ -168,7 +189,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
+    return {name: f for name, f in globals().items() if name[:1] in "pv" and name[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

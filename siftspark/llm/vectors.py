@@ -195,15 +195,16 @@ def _sent(vectors: DataFrame, routing: Routing, dim: int, whole: bool) -> DataFr
     return vectors.mapInArrow(send, "cell long, id long, v binary" if whole else "cell long")
 
 
-def fine_hashing(n: int) -> Hashing:
-    """Inside a cell of n vectors."""
-    return Hashing(3, 8, 1.5, 30) if n > 20_000 else Hashing(2, 6, 1.5, 15)
+def fine_hashing(n: int, cell: int) -> Hashing:
+    """Inside a cell of n vectors. Cells differ in their directions, so that a pair which shares several cells has as many chances."""
+    seed = 7 + cell % 16
+    return Hashing(2, 8, 1.5, 30, seed) if n > 20_000 else Hashing(2, 6, 1.5, 15, seed)
 
 
-def _pairs(x: np.ndarray, floor: float, reduce, brute: int = 3000) -> None:
+def _pairs(x: np.ndarray, floor: float, reduce, cell: int, brute: int = 3000) -> None:
     """Feed ``reduce`` with codes ``a * n + b`` of found pairs, a != b, in portions of bounded size."""
     n = len(x)
-    h = fine_hashing(n) if n > brute else Hashing(1, 1, 1e9, 0)
+    h = fine_hashing(n, cell) if n > brute else Hashing(1, 1, 1e9, 0)
     held, count = [], 0
     for a, b in candidate_blocks(x, h, np.float32(floor - 1e-5)):
         held.append(a * n + b)
@@ -215,7 +216,7 @@ def _pairs(x: np.ndarray, floor: float, reduce, brute: int = 3000) -> None:
         reduce(np.unique(np.concatenate(held)))
 
 
-def top_in_cell(ids: np.ndarray, x: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def top_in_cell(ids: np.ndarray, x: np.ndarray, k: int, floor: float, cell: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row the k best other rows (highest cosine, then smaller id) of at least ``floor``; ids must ascend."""
     n = len(x)
     norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
@@ -233,7 +234,7 @@ def top_in_cell(ids: np.ndarray, x: np.ndarray, k: int, floor: float) -> tuple[n
         keep = np.arange(len(a)) - first < k
         best[0], best[1] = codes[keep], cos[keep]
 
-    _pairs(_units(x), floor, reduce)
+    _pairs(_units(x), floor, reduce, cell)
     return ids[best[0] // n], ids[best[0] % n], best[1]
 
 
@@ -268,7 +269,7 @@ def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.n
     return np.concatenate(chosen) if chosen else np.empty(0, np.int64)
 
 
-def forest_in_cell(ids: np.ndarray, x: np.ndarray, floor: float, core: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forest_in_cell(ids: np.ndarray, x: np.ndarray, floor: float, core: np.ndarray | None, cell: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximum spanning forest of the pairs of at least ``floor``; weight: cosine, or mutual reachability where ``core`` is given."""
     n = len(x)
     norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
@@ -285,7 +286,7 @@ def forest_in_cell(ids: np.ndarray, x: np.ndarray, floor: float, core: np.ndarra
         order = np.argsort(codes[e])
         kept[0], kept[1] = codes[e][order], w[e][order]
 
-    _pairs(_units(x), floor, reduce)
+    _pairs(_units(x), floor, reduce, cell)
     return ids[kept[0] // n], ids[kept[0] % n], kept[1]
 
 
@@ -296,7 +297,7 @@ def _by_cell(rows: DataFrame, dim: int, work) -> DataFrame:
         order = order[np.append(True, np.diff(ids[order]) > 0)]
         x = _unbinary(table.column("v"), dim)[order]
         core = np.asarray(table.column("core"))[order] if "core" in table.column_names else None
-        a, b, w = work(ids[order], x, core)
+        a, b, w = work(ids[order], x, core, table.column("cell")[0].as_py())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "w": pa.array(w, pa.float64())})
 
     return rows.groupBy("cell").applyInArrow(one, "a long, b long, w double")
@@ -308,7 +309,7 @@ def nearest(routed: Routed, dim: int, k: int, floor: float) -> DataFrame:
     Copies of a vector count as others of cosine 1. Linear in the number of rows, however many
     copies there are: a class of copies is searched once, and its members get the class's list.
     """
-    found = _by_cell(routed.rows, dim, lambda ids, x, _: top_in_cell(ids, x, k, floor))
+    found = _by_cell(routed.rows, dim, lambda ids, x, _, cell: top_in_cell(ids, x, k, floor, cell))
     by = F.struct((-F.col("w")).alias("o"), "b")
     ranked = found.withColumn("r", F.dense_rank().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))).filter(F.col("r") <= k)
     best = ranked.groupBy("a", "b").agg(F.max("w").alias("w"))
@@ -334,4 +335,4 @@ def forest_edges(routed: Routed, dim: int, floor: float, core: DataFrame | None
     ``core`` (id, core) turns the weight into mutual reachability.
     """
     rows = routed.rows if core is None else routed.rows.join(core, "id")
-    return _by_cell(rows, dim, lambda ids, x, c: forest_in_cell(ids, x, floor, c)).dropDuplicates(["a", "b"])
+    return _by_cell(rows, dim, lambda ids, x, c, cell: forest_in_cell(ids, x, floor, c, cell)).dropDuplicates(["a", "b"])
