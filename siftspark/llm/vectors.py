@@ -196,9 +196,10 @@ def _sent(vectors: DataFrame, routing: Routing, dim: int, whole: bool) -> DataFr
 
 
 def fine_hashing(n: int, cell: int) -> Hashing:
-    """Inside a cell of n vectors. Cells differ in their directions, so that a pair which shares several cells has as many chances."""
-    seed = 7 + cell % 16
-    return Hashing(2, 8, 1.5, 30, seed) if n > 20_000 else Hashing(2, 6, 1.5, 15, seed)
+    """Inside a cell of n vectors. Cells differ in their directions, so that a pair which shares several cells has as many
+    chances; the only cell of a small table (number 0) has more tables instead."""
+    seed, tables = 7 + cell % 16, 2 if cell else 5
+    return Hashing(tables, 8, 1.5, 30, seed) if n > 20_000 else Hashing(tables, 6, 1.5, 15, seed)
 
 
 def _pairs(x: np.ndarray, floor: float, reduce, cell: int, brute: int = 3000) -> None:
