@@ -133,75 +133,96 @@ def _sparse(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int]) ->
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(apply, "key long, terms array<int>")
 
 
-def _vectors(column: pa.Array, place: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit vectors of the rows of a list column: capped counts times weights; and the flat (row, term) pairs."""
+@dataclass
+class Rows:
+    """Sparse unit vectors: ``value`` at (``row``, ``d``); ``n`` rows, of which those without any entry take no part."""
+
+    n: int
+    row: np.ndarray
+    d: np.ndarray
+    value: np.ndarray
+
+
+def _flat(column) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows of a list column, and its (row, term) pairs."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.asarray(pa.compute.list_value_length(lists).fill_null(0))
-    flat = np.asarray(lists.flatten())
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    x = np.zeros((len(sizes), len(weight)), np.float32)
-    d = place[flat]
-    np.add.at(x, (row[d >= 0], d[d >= 0]), 1)
-    x = np.minimum(x, 3) * weight
-    norm = np.linalg.norm(x, axis=1)
-    x[norm > 0] /= norm[norm > 0][:, None]
-    return x, row, flat
+    return len(sizes), np.repeat(np.arange(len(sizes)), sizes), np.asarray(lists.flatten())
+
+
+def _vectors(n: int, row: np.ndarray, term: np.ndarray, place: np.ndarray, weight: np.ndarray) -> Rows:
+    """Unit vectors of capped counts times weights."""
+    d = place[term]
+    code, count = np.unique(row[d >= 0] * len(weight) + d[d >= 0], return_counts=True)
+    row, d = code // len(weight), code % len(weight)
+    value = np.minimum(count, 3) * weight[d]
+    norm = np.sqrt(np.bincount(row, value * value, minlength=n))
+    return Rows(n, row, d, value / norm[row])
 
 
-@dataclass
 class Tree:
-    """Splits of nodes: node -> its first child; rows of ``centres`` for both children; or the term whose presence splits at first."""
-
-    children: dict[int, int]
-    centres: np.ndarray
-    first_term: dict[int, int]
-
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), np.int64)
-        for parent in sorted(self.children):
-            m = np.flatnonzero(node == parent)
-            if not len(m):
-                continue
-            child = self.children[parent]
-            if parent in self.first_term:
-                right = x[m, self.first_term[parent]] > 0
-            else:
-                right = x[m] @ self.centres[child + 1] > x[m] @ self.centres[child]
-            node[m] = np.where(right, child + 1, child)
+    """Splits of nodes: the first child of a node, and what leads to the second one: a term's presence at first, then the nearer centre."""
+
+    def __init__(self, dimensions: int):
+        self.child = np.full(1, -1)
+        self.term = np.full(1, -1)
+        self.centre = np.zeros((1, dimensions), np.float32)
+        self.lean = np.zeros((1, dimensions), np.float32)  #: second child's centre minus the first one's
+
+    def split(self, node: int, term: int) -> None:
+        n = len(self.child)
+        self.child, self.term = (np.append(x, [-1, -1]) for x in (self.child, self.term))
+        self.centre, self.lean = (np.concatenate([x, np.zeros((2, x.shape[1]), np.float32)]) for x in (self.centre, self.lean))
+        self.child[node], self.term[node] = n, term
+
+    def recentre(self, node: int, sums: dict[int, np.ndarray]) -> None:
+        first = self.child[node]
+        for c in (first, first + 1):
+            if c in sums:
+                v = sums[c][0, :-1]
+                self.centre[c] = v / max(1e-9, np.linalg.norm(v))
+        self.lean[node] = self.centre[first + 1] - self.centre[first]
+        self.term[node] = -1
+
+    def leaves(self, x: Rows) -> np.ndarray:
+        """The leaf of every row, level by level."""
+        node = np.zeros(x.n, np.int64)
+        while (self.child[node] >= 0).any():
+            at = node[x.row]
+            right = np.bincount(x.row, x.value * self.lean[at, x.d], minlength=x.n) > 0
+            right |= np.bincount(x.row, self.term[at] == x.d, minlength=x.n) > 0
+            node = np.where(self.child[node] >= 0, self.child[node] + right, node)
         return node
 
 
 def _grow(sparse: DataFrame, place: np.ndarray, weight: np.ndarray) -> Tree:
     """Bisecting k-means over all documents, all large leaves of a level at once; sums come from partial aggregates per (node, term)."""
     spark = sparse.sparkSession
-    tree = Tree({}, np.zeros((1, len(weight)), np.float32), {})
+    size = len(weight) + 1
+    tree = Tree(len(weight))
 
     def sums():
         shared = spark.sparkContext.broadcast((tree, place, weight))
 
         def apply(batches):
             t, p, w = shared.value
-            total: dict[int, np.ndarray] = {}
+            total = np.zeros((2, len(t.child) * size))
             for batch in batches:
-                for i in range(0, batch.num_rows, 2000):
-                    x, _, _ = _vectors(batch.column(0).slice(i, 2000), p, w)
-                    x = x[x.any(axis=1)]
-                    node = t.leaves(x)
-                    for n in np.unique(node):
-                        m = x[node == n]
-                        s = total.setdefault(int(n), np.zeros((2, len(w) + 1)))
-                        s[0, :-1] += m.sum(axis=0)
-                        s[1, :-1] += (m * m).sum(axis=0)
-                        s[0, -1] += len(m)
-            for n, s in total.items():
-                d = np.flatnonzero(s[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), n)), pa.array(d), pa.array(s[0, d]), pa.array(s[1, d])], names=["node", "d", "s", "q"])
+                x = _vectors(*_flat(batch.column(0)), p, w)
+                node = t.leaves(x)
+                code = node[x.row] * size + x.d
+                total[0] += np.bincount(code, x.value, minlength=total.shape[1])
+                total[1] += np.bincount(code, x.value * x.value, minlength=total.shape[1])
+                some = np.bincount(x.row, minlength=x.n) > 0
+                total[0] += np.bincount(node[some] * size + size - 1, minlength=total.shape[1])
+            code = np.flatnonzero(total[0])
+            yield pa.RecordBatch.from_arrays([pa.array(code // size), pa.array(code % size), pa.array(total[0, code]), pa.array(total[1, code])], names=["node", "d", "s", "q"])
 
         rows = sparse.select("terms").mapInArrow(apply, "node long, d long, s double, q double").groupBy("node", "d").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).toArrow()
         node, d, s, q = (np.asarray(rows.column(c)) for c in ("node", "d", "s", "q"))
         out = {}
         for n in np.unique(node).tolist():
-            v = np.zeros((2, len(weight) + 1))
+            v = np.zeros((2, size))
             m = node == n
             v[0, d[m]], v[1, d[m]] = s[m], q[m]
             out[n] = v
@@ -210,30 +231,19 @@ def _grow(sparse: DataFrame, place: np.ndarray, weight: np.ndarray) -> Tree:
     now = sums()
     total = sum(v[0, -1] for v in now.values())
     for _ in range(LEVELS):
-        big = sorted(n for n, v in now.items() if v[0, -1] > max(20, total / LEAVES))
         fresh = []
-        for n in big:
-            v = now[n]
-            mean = v[0, :-1] / v[0, -1]
-            spread = v[1, :-1] / v[0, -1] - mean**2
-            if spread.max() <= 1e-9:
-                continue
-            child = len(tree.centres)
-            tree.centres = np.concatenate([tree.centres, np.zeros((2, len(weight)), np.float32)])
-            tree.children[n] = child
-            tree.first_term[n] = int(spread.argmax())
-            fresh.append(n)
+        for n in sorted(n for n, v in now.items() if v[0, -1] > max(20, total / LEAVES)):
+            mean = now[n][0, :-1] / now[n][0, -1]
+            spread = now[n][1, :-1] / now[n][0, -1] - mean**2
+            if spread.max() > 1e-9:
+                tree.split(n, int(spread.argmax()))
+                fresh.append(n)
         if not fresh:
             break
         for _ in range(STEPS):
             now = sums()
             for n in fresh:
-                child = tree.children[n]
-                for c in (child, child + 1):
-                    if c in now:
-                        v = now[c][0, :-1]
-                        tree.centres[c] = v / max(1e-9, np.linalg.norm(v))
-                tree.first_term.pop(n, None)
+                tree.recentre(n, now)
         now = sums()
     return tree
 
@@ -268,8 +278,9 @@ def classified(docs: DataFrame, key: str, text: str, known: Labelled) -> DataFra
     def leaf_terms(batches):
         t, p, w = shared.value
         for batch in batches:
-            x, row, flat_terms = _vectors(batch.column(0), p, w)
-            node = np.where(x.any(axis=1), t.leaves(x), -1)
+            rows_, row, flat_terms = _flat(batch.column(0))
+            x = _vectors(rows_, row, flat_terms, p, w)
+            node = np.where(np.bincount(x.row, minlength=x.n) > 0, t.leaves(x), -1)
             pairs = np.unique(row * size + flat_terms)
             cell, n = np.unique(node[pairs // size] * size + pairs % size, return_counts=True)
             ids, many = np.unique(node, return_counts=True)
@@ -299,11 +310,9 @@ def classified(docs: DataFrame, key: str, text: str, known: Labelled) -> DataFra
     def decide(batches):
         says, names = told.value
         for batch in batches:
-            lists = batch.column(1)
-            sizes = np.asarray(pa.compute.list_value_length(lists).fill_null(0))
-            s = says[np.asarray(lists.flatten())]
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            mix = np.zeros((len(sizes), len(names)), np.int64)
+            rows_, row, flat_terms = _flat(batch.column(1))
+            s = says[flat_terms]
+            mix = np.zeros((rows_, len(names)), np.int64)
             np.add.at(mix, (row[s >= 0], s[s >= 0]), 1)
             total = mix.sum(axis=1)
             place_in_mix = np.argsort(np.argsort(-mix, axis=1, kind="stable"), axis=1)
