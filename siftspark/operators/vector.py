@@ -54,7 +54,11 @@ def search(queries: DataFrame, rows: DataFrame, dim: int, k: int, floor: float =
                 for s in range(0, len(qid), 500):
                     cos = (q[s : s + 500] @ x.T).round(12)
                     cos[qid[s : s + 500, None] == rid[None, :]] = -2
-                    a, b = np.nonzero(cos >= max(floor, -1.0))
+                    least = np.full(len(cos), max(floor, -1.0))
+                    if cos.shape[1] > k:
+                        # ties with the k-th best stay in; the order below decides among them
+                        least = np.maximum(least, np.partition(cos, -k, axis=1)[:, -k])
+                    a, b = np.nonzero(cos >= least[:, None])
                     v = cos[a, b]
                     order = np.lexsort((rid[b], -v, a))
                     a, b, v = a[order], b[order], v[order]
