@@ -40,18 +40,18 @@ def f01(t):
 @query("f02_keyword_match", f"WITH {_T}, kw AS {_score_sql(L.PAIN, L.PAIN_WEIGHTS, 5.0)} SELECT id, hits, round(s, 6) AS score FROM kw")
 def f02(t):
     df = signal.with_signals(t.posts("title", "body"))
-    return df.select("id", F.size("pain_hits").cast("long").alias("hits"), F.round("keyword_score", 6).alias("score"))
+    return df.select("id", F.col("pain_hits").cast("long").alias("hits"), F.round("keyword_score", 6).alias("score"))
 
 
 @query("f03_aspiration_match", f"WITH {_T}, kw AS {_score_sql(L.ASPIRATION, L.ASPIRATION_WEIGHTS, 3.0)} SELECT id, hits, round(s, 6) AS score FROM kw")
 def f03(t):
     df = signal.with_signals(t.posts("title", "body"))
-    return df.select("id", F.size("aspiration_hits").cast("long").alias("hits"), F.round("aspiration", 6).alias("score"))
+    return df.select("id", F.col("aspiration_hits").cast("long").alias("hits"), F.round("aspiration", 6).alias("score"))
 
 
 @query("f04_pattern_match", f"WITH {_T} SELECT id, pats AS patterns FROM {_PATTERN}")
 def f04(t):
-    return t.posts("title", "body").select("id", F.size(X.held(X.whole_text(), L.PATTERNS)).cast("long").alias("patterns"))
+    return t.posts("title", "body").select("id", X.held_count(X.whole_text(), L.PATTERNS).cast("long").alias("patterns"))
 
 
 @query("f05_exclusion_gate", f"WITH {_T} SELECT id, excluded FROM {_EXCLUDED}")
@@ -96,18 +96,17 @@ _QUICK = f"(SELECT t.id, count(x.p) AS quick FROM t LEFT JOIN {values([(p,) for
 @query("f15_pre_score", f"WITH {_T}, kw AS {_score_sql(L.PAIN, L.PAIN_WEIGHTS, 5.0)}, q AS {_QUICK} SELECT id, round(least(CASE WHEN coalesce(score, 0) >= 5 THEN 0.3 ELSE 0 END + CASE WHEN coalesce(num_comments, 0) >= 3 THEN 0.2 ELSE 0 END + 0.1 * hits + CASE WHEN length(text) > 200 THEN 0.1 ELSE 0 END + CASE WHEN length(text) > 500 THEN 0.1 ELSE 0 END + 0.05 * quick, 1.0), 6) AS score FROM t JOIN kw USING (id) JOIN q USING (id)")
 def f15(t):
     df = t.posts(*_POSTS).withColumn("text", X.whole_text())
-    hits = F.size(X.held(F.col("text"), [k for ks in L.PAIN.values() for k in ks]))
+    hits = X.held_count(F.col("text"), X.every_word(L.PAIN))
     bonus = lambda c, v: F.when(c, v).otherwise(0.0)
     total = bonus(F.coalesce("score", F.lit(0)) >= 5, 0.3) + bonus(F.coalesce("num_comments", F.lit(0)) >= 3, 0.2) + 0.1 * hits
-    total = total + bonus(F.length("text") > 200, 0.1) + bonus(F.length("text") > 500, 0.1) + 0.05 * F.size(X.held(F.col("text"), L.QUICK_EMOTION))
+    total = total + bonus(F.length("text") > 200, 0.1) + bonus(F.length("text") > 500, 0.1) + 0.05 * X.held_count(F.col("text"), L.QUICK_EMOTION)
     return df.select("id", F.round(F.least(total, F.lit(1.0)), 6).alias("score"))
 
 
 @query("f16_simple_pain", f"WITH {_T}, kw AS {_score_sql(L.PAIN, L.PAIN_WEIGHTS, 5.0)} SELECT id FROM t JOIN kw USING (id) WHERE score >= 5 AND num_comments >= 3 AND hits >= 1")
 def f16(t):
-    words = X.strings([k for ks in L.PAIN.values() for k in ks])
     df = t.posts(*_POSTS).filter("score >= 5 AND num_comments >= 3").withColumn("text", X.whole_text())
-    return df.filter(F.exists(words, lambda k: F.contains(F.col("text"), k))).select("id")
+    return df.filter(X.held_count(F.col("text"), X.every_word(L.PAIN)) >= 1).select("id")
 
 
 @query("f18_event_validator", f"SELECT id FROM events_now WHERE coalesce(problem, '') <> '' AND coalesce(post_id, '') <> '' AND length(problem) BETWEEN 10 AND 1000 AND extraction_confidence >= 0.3 AND lower(problem) NOT IN ({', '.join(chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) for p in L.GENERIC_PROBLEMS)})")

@@ -12,8 +12,8 @@ _EVENT_TEXT = "lower(coalesce(problem, '')) || ' ' || lower(coalesce(context, ''
 
 @query("x01_substring_containment", f"SELECT id, count(*) AS hits FROM events_now JOIN {values([(k,) for ks in L.PAIN.values() for k in ks], 'k(kw)')} ON contains(lower(problem), k.kw) GROUP BY 1")
 def x01(t):
-    words = [k for ks in L.PAIN.values() for k in ks]
-    return t.events("problem").select("id", F.size(X.held(F.lower("problem"), words)).cast("long").alias("hits")).filter("hits > 0")
+    hits = X.held_count(F.lower("problem"), X.every_word(L.PAIN))
+    return t.events("problem").filter("problem IS NOT NULL").select("id", hits.cast("long").alias("hits")).filter("hits > 0")
 
 
 @query("x02_embedding_text", "SELECT id, concat_ws(' | ', nullif(problem, ''), nullif(context, ''), nullif(frequency, '')) AS text FROM events_now")

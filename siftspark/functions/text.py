@@ -22,19 +22,27 @@ def held(text: Column, values) -> Column:
     return F.filter(strings(values), lambda v: F.contains(text, v))
 
 
-def entries(lexicon: dict[str, list[str]], weights: dict[str, float]) -> Column:
-    rows = [(c, k, weights.get(c, L.OTHER_WEIGHT)) for c, ks in lexicon.items() for k in ks]
-    return F.array(*[F.struct(F.lit(c).alias("cat"), F.lit(k).alias("kw"), F.lit(w).alias("w")) for c, k, w in rows])
+def total(cols) -> Column:
+    """The sum of columns, as a balanced tree that generated code can follow."""
+    cols = list(cols)
+    while len(cols) > 1:
+        cols = [cols[i] + cols[i + 1] if i + 1 < len(cols) else cols[i] for i in range(0, len(cols), 2)]
+    return cols[0] if cols else F.lit(0)
 
 
-def weighted_hits(text: Column, lexicon, weights) -> Column:
-    """Entries (cat, kw, w) of a lexicon that the text contains."""
-    return F.filter(entries(lexicon, weights), lambda e: F.contains(text, e["kw"]))
+def held_count(text: Column, values) -> Column:
+    """How many of ``values`` the text contains. Plain arithmetic, so it stays in generated code."""
+    return total(F.contains(text, F.lit(v)).cast("int") for v in values)
 
 
-def hit_score(hits: Column, full: float) -> Column:
-    """Every hit counts its own weight and its category's, the same again; scaled to 1 at ``full``."""
-    return F.least(F.aggregate(hits, F.lit(0.0), lambda acc, e: acc + 2 * e["w"]) / full, F.lit(1.0))
+def every_word(lexicon: dict[str, list[str]]) -> list[str]:
+    return [k for ks in lexicon.values() for k in ks]
+
+
+def lexicon_score(text: Column, lexicon: dict[str, list[str]], weights: dict[str, float], full: float) -> Column:
+    """Every keyword that the text contains counts its category's weight twice, for itself and for the category; scaled to 1 at ``full``."""
+    parts = [held_count(text, ks) * F.lit(2 * weights.get(c, L.OTHER_WEIGHT)) for c, ks in lexicon.items()]
+    return F.least(total(parts) / full, F.lit(1.0))
 
 
 def word_count(text: Column) -> Column:
@@ -43,10 +51,9 @@ def word_count(text: Column) -> Column:
 
 
 def emotion(text: Column) -> Column:
-    total = F.lit(0.0)
-    for weight, values in L.EMOTION.items():
-        total = total + F.size(held(text, values)) * F.lit(weight)
-    return F.least(total / F.greatest(word_count(text) / 100, F.lit(1.0)), F.lit(1.0))
+    """Weighted words of emotion per hundred words (per text for shorter ones), at most 1; each word counts once."""
+    strength = total(held_count(text, values) * F.lit(weight) for weight, values in L.EMOTION.items())
+    return F.least(strength / F.greatest(word_count(text) / 100, F.lit(1.0)), F.lit(1.0))
 
 
 def first_score(text: Column, scores: dict[str, int], default: int) -> Column:

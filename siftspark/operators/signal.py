@@ -10,16 +10,17 @@ from siftspark.functions import text as X
 
 
 def with_signals(posts: DataFrame) -> DataFrame:
-    """``posts`` with text, hits and scores of pain, aspiration, patterns and emotion; null texts count as empty."""
+    """``posts`` with text, numbers of hits and scores of pain, aspiration, patterns and emotion; null texts count as empty."""
     df = posts.withColumn("text", X.whole_text())
-    df = df.withColumn("pain_hits", X.weighted_hits(F.col("text"), L.PAIN, L.PAIN_WEIGHTS))
-    df = df.withColumn("aspiration_hits", X.weighted_hits(F.col("text"), L.ASPIRATION, L.ASPIRATION_WEIGHTS))
-    df = df.withColumn("patterns", X.held(F.col("text"), L.PATTERNS))
+    text = F.col("text")
     return df.withColumns(
         {
-            "keyword_score": X.hit_score(F.col("pain_hits"), 5.0),
-            "aspiration": X.hit_score(F.col("aspiration_hits"), 3.0),
-            "emotion": X.emotion(F.col("text")),
+            "pain_hits": X.held_count(text, X.every_word(L.PAIN)),
+            "aspiration_hits": X.held_count(text, X.every_word(L.ASPIRATION)),
+            "patterns": X.held_count(text, L.PATTERNS),
+            "keyword_score": X.lexicon_score(text, L.PAIN, L.PAIN_WEIGHTS, 5.0),
+            "aspiration": X.lexicon_score(text, L.ASPIRATION, L.ASPIRATION_WEIGHTS, 3.0),
+            "emotion": X.emotion(text),
         }
     )
 
@@ -39,14 +40,13 @@ def quality_reason(score="score", comments="num_comments", ratio="upvote_ratio")
 def exclusion(text):
     """The first (category, pattern) of the exclusion list in a text as ``category: pattern``; null if none."""
     pairs = [(f"{c}: {p}", p) for c, ps in L.EXCLUDE.items() for p in ps]
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in pairs])
-    return F.try_element_at(F.filter(rows, lambda r: F.contains(text, r["p"])), F.lit(1))["name"]
+    return F.coalesce(*[F.when(F.contains(text, F.lit(p)), name) for name, p in pairs])
 
 
 def composite(keyword, patterns, emotion, score, comments):
     """0.4 keywords, 0.3 patterns (full at 3), 0.2 emotion, 0.1 popularity, within 0 and 1."""
     popular = (F.least(F.coalesce(score, F.lit(0)) / 100, F.lit(1.0)) + F.least(F.coalesce(comments, F.lit(0)) / 50, F.lit(1.0))) / 2
-    total = 0.4 * keyword + 0.3 * F.least(F.size(patterns) / 3, F.lit(1.0)) + 0.2 * emotion + 0.1 * popular
+    total = 0.4 * keyword + 0.3 * F.least(patterns / 3, F.lit(1.0)) + 0.2 * emotion + 0.1 * popular
     return F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0))
 
 
@@ -57,8 +57,8 @@ def signal_filter(posts: DataFrame) -> DataFrame:
     """
     df = with_signals(posts).withColumn("quality", quality_reason()).withColumn("excluded", exclusion(F.col("text")))
     df = df.withColumn("pain", composite(F.col("keyword_score"), F.col("patterns"), F.col("emotion"), F.col("score"), F.col("num_comments")))
-    path = F.when((F.size("pain_hits") >= 1) & (F.col("emotion") >= 0.3) & (F.col("pain") >= 0.3), "pain")
-    path = path.when((F.size("aspiration_hits") >= 1) & (F.col("aspiration") >= 0.4), "aspiration")
+    path = F.when((F.col("pain_hits") >= 1) & (F.col("emotion") >= 0.3) & (F.col("pain") >= 0.3), "pain")
+    path = path.when((F.col("aspiration_hits") >= 1) & (F.col("aspiration") >= 0.4), "aspiration")
     df = df.withColumn("reason", F.coalesce("quality", "excluded")).withColumn("path", path)
     passed = F.when(F.col("reason").isNull(), F.col("path"))
     return df.select(
