@@ -3,8 +3,9 @@
 Seeds are entities in unmistakable forms (a mailbox at a dotted domain, a number with a country code, a
 ``first.last`` mailbox that names its owner). They induce lexical patterns, the words in front of an instance;
 Spark scores the graph of patterns and instances over the whole corpus, round by round: a pattern counts as far as its
-instances are known, an instance as far as its patterns are. Patterns of high confidence then
-discover identifiers in forms that prove nothing by themselves, and name pairs discover further given and family names.
+instances are known, an instance as far as its patterns are, and instances found so confirm new patterns. Patterns of high confidence
+discover identifiers in forms that prove nothing by themselves, and name pairs discover further given and family names. Mailboxes and
+street addresses take part with their fixed forms only (and the names of streets).
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from siftspark.plans.scratch import cut
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 ROUNDS = 3  #: rounds of pattern and instance scoring
 CONFIDENCE = 0.8  #: of a pattern that may discover instances
-SUPPORT = 3  #: different known instances that such a pattern has at least
+SUPPORT = 3  #: known instances that such a pattern has at least
+HALF = 0.5  #: of all instances of a pattern without enough seeds that have to be known
 LEXICON = 200_000  #: most names and patterns sent to the tasks, best supported first
 
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
@@ -94,6 +96,11 @@ def _shape(instance: str) -> str:
     return re.sub(r"\d", "9", re.sub("[A-Za-z]", "a", instance))
 
 
+def _key(instance: str) -> str:
+    """The same for all spellings of a number."""
+    return re.sub(r"[^\dA-Za-z]", "", instance).upper()
+
+
 def _streets(text: str):
     """(start, end, name) of street addresses with a house number in front or behind; lower-cased name, with a dot if the text has it in lower case."""
     for h in _HOUSE.finditer(text):
@@ -166,7 +173,7 @@ def _loose(text: str, spans):
 
 @dataclass
 class Knowledge:
-    """What the corpus taught: names, words that are none, streets, patterns of two words and of one, forms of numbers, and (pattern, form) that announce something else."""
+    """What the corpus taught: names, words that are none, streets, patterns of two words and of one, forms of numbers, numbers that stand behind a pattern elsewhere, and (pattern, form) that announce something else."""
 
     given: set[str] = field(default_factory=set)
     family: set[str] = field(default_factory=set)
@@ -176,6 +183,7 @@ class Knowledge:
     last_words: dict[str, str] = field(default_factory=dict)
     shapes: dict[str, str] = field(default_factory=dict)
     against: set[tuple[str, str]] = field(default_factory=set)
+    instances: dict[str, str] = field(default_factory=dict)
 
 
 def observe(text: str, facts: Counter) -> list[tuple[int, int]]:
@@ -190,9 +198,9 @@ def observe(text: str, facts: Counter) -> list[tuple[int, int]]:
             for _, _, name in _streets(text[a:b]):
                 facts["street", name, ""] += 1
         else:
-            facts["seed " + kind, _before(text, a), ""] += 1
+            facts["seed " + kind, _before(text, a), text[a:b]] += 1
     for m in _loose(text, spans):
-        facts["loose", _before(text, m.start()), _shape(m[0])] += 1
+        facts["loose", _before(text, m.start()), m[0]] += 1
     for m in _BARE_STREET.finditer(text) if any(t in text for t in _TYPE_LIST) else ():
         facts["no street", m[1].lower(), ""] += 1
     for m in _PAIR.finditer(text):
@@ -234,28 +242,53 @@ def learn(texts: DataFrame) -> Knowledge:
 
 
 def _learn_patterns(table: DataFrame, known: Knowledge) -> None:
-    """Patterns from seeds; forms of loose numbers from confident patterns; then last words of patterns, for such forms only."""
+    """Patterns from seeds; then instances from patterns and patterns from instances in rounds; forms of loose numbers from confident patterns; last words of patterns, for such forms only.
+
+    A form is no evidence for a pattern: order numbers look like telephone numbers. A pattern without enough seeds is confirmed by
+    ``SUPPORT`` different instances that are seeds or stand behind confident patterns elsewhere, if they are the ``HALF`` of all its instances.
+    """
     kinds = ("phone", "id_number")
-    seeds = table.filter(F.col("role").startswith("seed ") & (F.col("x") != "")).select(F.substring("role", 6, 100).alias("kind"), "x", "n")
+    plain = F.when(F.col("role") == "seed phone", F.regexp_replace("y", r"(?i)[ ,]*(?:ext\.?|extension|x)\s*\d{1,5}$", "")).otherwise(F.col("y"))
+    facts = table.filter(F.col("role").startswith("seed ") | (F.col("role") == "loose")).select("role", "x", "y", "n", F.upper(F.regexp_replace(plain, r"[^\p{Nd}A-Za-z]", "")).alias("i"))
+    facts = cut(facts)
+    every_seed = facts.filter("role <> 'loose'").select(F.substring("role", 6, 100).alias("kind"), "x", "i", "n")
+    seeds = every_seed.filter("x <> ''")
     word = F.element_at(F.split("x", " "), -1)
-    for key, into in ((F.col("x"), known.patterns), (word, known.last_words)):
-        seen = seeds.groupBy(key.alias("p")).pivot("kind", list(kinds)).agg(F.sum("n")).na.fill(0)
+
+    def of_kind(rows: DataFrame, key, count, least: int) -> DataFrame:
+        """(p, kind) of the keys with ``least`` of a kind and ``CONFIDENCE`` of all kinds."""
+        seen = rows.groupBy(key.alias("p")).pivot("kind", list(kinds)).agg(count).na.fill(0)
         every = sum((F.col(k) for k in kinds), F.lit(0))
-        for kind in kinds:
-            sure = seen.filter((F.col(kind) >= SUPPORT) & (F.col(kind) >= CONFIDENCE * every))
-            for r in sure.orderBy(F.desc(kind), "p").limit(LEXICON).collect():
-                into[r["p"]] = kind
-    spark = table.sparkSession
-    confident = spark.createDataFrame([*known.patterns.items()] or [("", "")], "x string, kind string")
-    # recurrent patterns in front of a form that no seed ever has announce something else
-    loose = table.filter("role = 'loose'").select("x", "y", "n", word.alias("p"))
-    never = loose.filter((F.col("n") >= SUPPORT) & (F.col("x") != "")).join(seeds.select("x").distinct(), "x", "left_anti")
-    lasts = loose.groupBy("p", "y").agg(F.sum("n").alias("n")).filter((F.col("n") >= SUPPORT) & (F.col("p") != ""))
-    lasts = lasts.join(seeds.select(word.alias("p")).distinct(), "p", "left_anti").select(F.col("p").alias("x"), "y", "n")
-    against = never.select("x", "y", "n").unionByName(lasts).orderBy(F.desc("n"), "x", "y").limit(LEXICON)
-    known.against = {(r["x"], r["y"]) for r in against.collect()}
-    rest = loose.join(never.select("x", "y"), ["x", "y"], "left_anti").join(confident, "x", "left")
-    for r in rest.groupBy("y").pivot("kind", list(kinds)).agg(F.sum("n")).na.fill(0).join(rest.groupBy("y").agg(F.sum("n").alias("n")), "y").orderBy("y").limit(LEXICON).collect():
+        sure = [F.when((F.col(k) >= least) & (F.col(k) >= CONFIDENCE * every), F.lit(k)) for k in kinds]
+        return seen.select("p", F.coalesce(*sure).alias("kind"), every.alias("known")).filter("kind IS NOT NULL")
+
+    confident = cut(of_kind(seeds, F.col("x"), F.sum("n"), SUPPORT).select(F.col("p").alias("x"), "kind"))
+    loose = facts.filter("role = 'loose'").select("x", F.regexp_replace(F.regexp_replace("y", "[A-Za-z]", "a"), r"\p{Nd}", "9").alias("y"), "i", "n", word.alias("p"))
+    sure = cut(of_kind(every_seed, F.col("i"), F.sum("n"), 1).select(F.col("p").alias("i"), "kind"))
+    stands = cut(facts.select("x", "i").distinct())
+    of_all = stands.filter("x <> ''").groupBy("x").agg(F.count(F.lit(1)).alias("all"))
+    instances = sure
+    for _ in range(ROUNDS):
+        found = of_kind(loose.join(confident, "x"), F.col("i"), F.sum("n"), 1).select(F.col("p").alias("i"), "kind")
+        instances = cut(sure.unionByName(found.join(sure, "i", "left_anti")))
+        more = of_kind(stands.filter("x <> ''").join(confident, "x", "left_anti").join(instances, "i"), F.col("x"), F.count(F.lit(1)), SUPPORT)
+        more = cut(more.withColumnRenamed("p", "x").join(of_all, "x").filter(F.col("known") >= HALF * F.col("all")).select("x", "kind"))
+        if not more.head(1):
+            break
+        confident = cut(confident.unionByName(more))
+    lastly = of_kind(seeds, word, F.sum("n"), SUPPORT).select(F.col("p").alias("x"), "kind")
+    elsewhere = loose.join(confident, "x", "left_anti").select("i").distinct()
+    for rows, into in ((confident, known.patterns), (lastly, known.last_words), (instances.join(elsewhere, "i", "left_semi"), known.instances)):
+        into.update((r[0], r[1]) for r in rows.collect())
+    # recurrent patterns in front of a form that no seed ever has, nor an instance found, announce something else
+    sums = cut(loose.groupBy("x", "y", "p").agg(F.sum("n").alias("n")))
+    telling = cut(seeds.select("x").unionByName(confident.select("x")).distinct())
+    never = sums.filter((F.col("n") >= SUPPORT) & (F.col("x") != "")).join(telling, "x", "left_anti")
+    lasts = sums.groupBy("p", "y").agg(F.sum("n").alias("n")).filter((F.col("n") >= SUPPORT) & (F.col("p") != ""))
+    lasts = lasts.join(telling.select(word.alias("p")).distinct(), "p", "left_anti").select(F.col("p").alias("x"), "y")
+    known.against = {(r["x"], r["y"]) for r in never.select("x", "y").unionByName(lasts).collect()}
+    rest = sums.join(never.select("x", "y"), ["x", "y"], "left_anti").join(confident, "x", "left")
+    for r in rest.groupBy("y").pivot("kind", list(kinds)).agg(F.sum("n")).na.fill(0).join(rest.groupBy("y").agg(F.sum("n").alias("n")), "y").collect():
         for kind in kinds:
             if r[kind] >= SUPPORT and r[kind] >= 0.3 * r["n"]:
                 known.shapes[r["y"]] = kind
@@ -303,7 +336,7 @@ def find(text: str, known: Knowledge) -> list[tuple[int, int, str]]:
         if kind is None:
             # a form that mostly announces one kind, unless its pattern announces something else
             shape, last = _shape(m[0]), before.rsplit(" ", 1)[-1]
-            kind = known.shapes.get(shape)
+            kind = known.instances.get(_key(m[0])) or known.shapes.get(shape)
             if kind and (known.last_words.get(last, kind) != kind or (before, shape) in known.against or (last, shape) in known.against):
                 kind = None
         if kind and all(m.end() <= s or e <= m.start() for s, e, _ in spans):

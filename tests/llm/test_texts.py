@@ -96,6 +96,18 @@ def test_names_and_patterns_are_learned_from_the_corpus(spark):
     assert [k for _, _, k in pii.find("reach me on the cell 2125550142, ORIEL HESTMIRA", known)] == ["phone", "person_name"]
 
 
+def test_instances_found_confirm_patterns_without_seeds(spark):
+    rows = [f"reach me on the cell 212-555-01{i:02d} now" for i in range(12)]
+    rows += [f"reach me on the cell 21255501{i}" for i in range(42, 46)]
+    rows += [f"my handset ring 21255501{i} please" for i in range(42, 46)] + ["my handset ring 21 255 50 777 please"]
+    rows += [f"take job {i}125550199 off" for i in range(2, 8)] + ["again 2125550143"]
+    known = pii.learn(spark.createDataFrame([(r,) for r in rows], "text string"))
+    kinds = lambda text: [k for _, _, k in pii.find(text, known)]
+    assert kinds("my handset ring 21 255 50 777 please") == ["phone"]
+    assert kinds("again 2125550143") == ["phone"]
+    assert kinds("take job 3125550199 off") == []
+
+
 def test_masked_texts_keep_nulls(spark):
     df = spark.createDataFrame([("1", "title", None, "x"), ("2", "body", "", "x"), ("3", "body", "see a.b@c.test", "x")], "id string, field string, text string, masked string")
     got = {r["id"]: (r["kinds"], r["masked"]) for r in pii.masked_texts(df, KNOWN).collect()}
