@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -97,9 +99,20 @@ def pairs_of_groups(members: DataFrame, group: str, key: str, a: str, b: str) ->
     return left.join(right, "__g").filter(F.col(a) < F.col(b)).select(a, b)
 
 
-#: Vertices of a component whose hierarchy one task builds; larger ones are first cut at the levels of ``TIERS``.
+#: Vertices of a component from which a warning says how much the one task that builds its hierarchy holds; results do not depend on it.
 COMPONENT = 200_000
-TIERS = (0.9, 0.93, 0.95, 0.97, 0.98, 0.99, 0.995)
+
+
+def _flat(part) -> list[int]:
+    """The vertices of a part, which is a vertex or two parts."""
+    out, rest = [], [part]
+    while rest:
+        x = rest.pop()
+        if isinstance(x, tuple):
+            rest += x
+        else:
+            out.append(x)
+    return out
 
 
 def condensed(ids: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, floor: float, least: int, most: int) -> list[tuple]:
@@ -113,11 +126,12 @@ def condensed(ids: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray,
     """
     n = len(ids)
     root = list(range(n))
-    parts: list[list[int]] = [[i] for i in range(n)]
+    parts: list = list(range(n))
+    count = [1] * n
     size = weight.astype(np.int64).tolist()
     level = np.where(weight >= least, 1.0, -1.0)
-    # per root: None, or [sum of levels, best stability below, chosen below]
-    state: list[list | None] = [[float(s), 0.0, []] if s >= least else None for s in size]
+    # per root: None, or [sum of levels, best stability below, chosen below: None or (chosen, chosen, None or (part, stability))]
+    state: list[list | None] = [[float(s), 0.0, None] if s >= least else None for s in size]
 
     def find(x):
         while root[x] != x:
@@ -128,39 +142,47 @@ def condensed(ids: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray,
     def close(r, at):
         total, below, chosen = state[r]
         own = total - at * size[r]
-        return (own, [(r, list(parts[r]), own)]) if own >= below else (below, chosen)
+        return (own, (None, None, (parts[r], own))) if own >= below else (below, chosen)
 
     for e in np.lexsort((b, a, -w)).tolist():
         p, q, at = find(a[e]), find(b[e]), float(w[e])
         if p == q:
             continue
-        if len(parts[p]) < len(parts[q]):
+        if count[p] < count[q]:
             p, q = q, p
         sp, sq = state[p], state[q]
         if sp is not None and sq is not None:
             best_p, best_q = close(p, at), close(q, at)
-            new = [at * (size[p] + size[q]), best_p[0] + best_q[0], best_p[1] + best_q[1]]
+            new = [at * (size[p] + size[q]), best_p[0] + best_q[0], (best_p[1], best_q[1], None)]
         elif sp is not None or sq is not None:
             new = sp if sp is not None else sq
             small = q if sp is not None else p
             new[0] += at * size[small]
-            level[parts[small]] = at
+            level[_flat(parts[small])] = at
         elif size[p] + size[q] >= least:
-            new = [at * (size[p] + size[q]), 0.0, []]
-            level[parts[p]] = at
-            level[parts[q]] = at
+            new = [at * (size[p] + size[q]), 0.0, None]
+            level[_flat((parts[p], parts[q]))] = at
         else:
             new = None
         root[q] = p
-        parts[p] += parts[q]
-        parts[q] = []
+        parts[p] = (parts[p], parts[q])
+        parts[q] = None
+        count[p] += count[q]
         size[p] += size[q]
-        state[p] = new
+        state[p], state[q] = new, None
     out = []
     for r in range(n):
         if root[r] == r and state[r] is not None:
-            for _, members, own in close(r, floor)[1]:
-                m = np.array(members)
+            rest = [close(r, floor)[1]]
+            while rest:
+                chosen = rest.pop()
+                if chosen is None:
+                    continue
+                if chosen[2] is None:
+                    rest += chosen[:2]
+                    continue
+                part, own = chosen[2]
+                m = np.sort(_flat(part))
                 typical = m[np.lexsort((ids[m], -level[m]))][:most]
                 out.append((m, own, typical))
     return out
@@ -170,32 +192,20 @@ def clusters(routed: Routed, dim: int, min_samples: int, floor: float, least: in
     """(clusters, members): clusters (cluster_id, size, stability, exemplars), members (id, cluster_id).
 
     A cluster's id is its least member's. Vectors outside every selected cluster are noise and in neither. Exact copies follow
-    their representative and count in sizes. Each component of the forest at ``floor`` gets its condensed hierarchy from one task; a
-    component of more than ``COMPONENT`` vertices is taken apart at the next level of ``TIERS`` that leaves smaller ones, and its pieces are
-    treated as components of that level.
+    their representative and count in sizes. Each component of the forest at ``floor`` gets its condensed hierarchy, whole, from one
+    task, whatever its size.
     """
     edges = cut(reachability_edges(routed, dim, min_samples, floor))
     tree, labels = spanning_tree(edges)
     tree = cut(tree)
-    whole, level = None, floor
-    for tier in (*TIERS, None):
-        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        giant = cut(sizes.filter(F.col("n") > COMPONENT).select("label"))
-        more = tier is not None and bool(giant.head(1))
-        fine = labels.join(giant, "label", "left_anti") if more else labels
-        mine = fine.select("id", "label", F.lit(level).alias("floor"))
-        whole = mine if whole is None else whole.unionByName(mine)
-        if not more:
-            break
-        rest = labels.join(giant, "label", "left_semi").select("id")
-        inner = tree.filter(F.col("w") >= tier).join(rest.select(F.col("id").alias("a")), "a", "left_semi")
-        _, labels = spanning_tree(cut(inner))
-        level = tier
-    whole = cut(whole)
+    largest = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
+    if largest > COMPONENT:
+        warnings.warn(f"one task builds the hierarchy of a component of {largest} vertices", stacklevel=2)
+    whole = cut(labels.select("id", "label"))
     copies = routed.copies.groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    vertices = whole.join(copies, "id", "left").select("label", "id", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("w"), "floor")
-    ends = tree.join(whole.withColumnRenamed("id", "a"), "a").filter(F.col("w") >= F.col("floor"))
-    ends = ends.select("label", F.col("a").alias("id"), F.lit(None).cast("long").alias("n"), "b", "w", "floor")
+    vertices = whole.join(copies, "id", "left").select("label", "id", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("w"))
+    ends = tree.join(whole.withColumnRenamed("id", "a"), "a")
+    ends = ends.select("label", F.col("a").alias("id"), F.lit(None).cast("long").alias("n"), "b", "w")
 
     def one(table: pa.Table) -> pa.Table:
         node = np.asarray(pa.compute.is_null(table.column("b")))
@@ -206,9 +216,8 @@ def clusters(routed: Routed, dim: int, min_samples: int, floor: float, least: in
         n = np.asarray(table.column("n").filter(pa.array(node)))[order]
         b = np.asarray(table.column("b").filter(pa.array(~node)))
         w = np.asarray(table.column("w").filter(pa.array(~node)))
-        low = float(table.column("floor")[0].as_py())
         rows: dict[str, list] = {"id": [], "cluster_id": [], "stability": [], "place": []}
-        for members, own, typical in condensed(v, n, np.searchsorted(v, ids[~node]), np.searchsorted(v, b), w, low, least, most):
+        for members, own, typical in condensed(v, n, np.searchsorted(v, ids[~node]), np.searchsorted(v, b), w, floor, least, most):
             place = {int(t): i + 1 for i, t in enumerate(typical)}
             rows["id"] += v[members].tolist()
             rows["cluster_id"] += [int(v[members].min())] * len(members)

@@ -151,3 +151,14 @@ def test_large_components_are_taken_apart_at_finer_levels(spark, monkeypatch):
     x = grouped(groups=6, size=30, lone=10, noise=0.1)
     found, members = density.clusters(routed(spark, frame(spark, x), len(x)), DIM, 2, 0.85)
     assert found.count() > 0 and members.groupBy("id").count().filter("count > 1").count() == 0
+
+
+def test_clusters_do_not_depend_on_the_size_of_a_component(spark, monkeypatch):
+    x = grouped(groups=3, size=60, lone=10, noise=0.18)
+    r = routed(spark, frame(spark, x), len(x))
+    results = []
+    for most in (10**6, 15):
+        monkeypatch.setattr(density, "COMPONENT", most)
+        found, members = density.clusters(r, DIM, 2, 0.85)
+        results.append((sorted(map(str, found.collect())), sorted(map(tuple, members.select("id", "cluster_id").collect()))))
+    assert results[0] == results[1] and results[0][1]
