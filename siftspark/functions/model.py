@@ -31,7 +31,7 @@ class RuleModel:
         for sentence in re.split(r"(?<=[.!?])\s+|\n+", text):
             hits = [w for w in words if w in sentence.lower()]
             if hits:
-                events.append({"problem": sentence.strip()[:1000], "confidence": min(1.0, 0.3 + 0.2 * len(hits)), "mentioned_tools": [t for t in L.TOOLS if t in sentence.lower()]})
+                events.append({"problem": sentence.strip(), "confidence": min(1.0, 0.3 + 0.2 * len(hits)), "mentioned_tools": [t for t in L.TOOLS if t in sentence.lower()]})
         return json.dumps({"pain_events": events})
 
 

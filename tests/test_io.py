@@ -89,6 +89,20 @@ def test_extraction_and_embedding(spark):
     assert sorted(r["id"] for r in vectors) == ["1", "4"] and all(len(r["embedding_vector"]) == 64 for r in vectors)
 
 
+def test_long_sentences_are_whole_and_the_validator_sees_their_length(spark):
+    from siftspark.catalog import more
+
+    long = "word " * 300 + "and I hate this"
+    df = spark.createDataFrame([("1", "", long, "s"), ("2", "", "I hate this thing.", "s")], "id string, title string, body string, subreddit string")
+
+    class Posts:
+        def posts(self, *columns):
+            return df.select("id", *columns)
+
+    assert {r["post_id"]: r["problem"] for r in more.u01(Posts()).collect()}["1"].endswith(long)
+    assert [r["post_id"] for r in more.u02(Posts()).collect()] == ["2"]
+
+
 def test_stage_runner(spark, tmp_path):
     done = stages.run_full_pipeline(spark, SMALL, str(tmp_path))
     assert [d["stage"] for d in done] == list(stages.STAGES) and all(d["items"] > 0 for d in done)
