@@ -23,6 +23,14 @@ def test_agrees_with_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_every_query_of_the_set_meets_all_members_of_its_cluster(spark, duck):
+    got = catalog.queries()["v04_query_similarity"](spark, str(DATA / "sf0.001")).select("a", "b").toPandas()
+    members = duck.sql(SQL["v04_query_similarity"].split("SELECT a.id AS a")[0] + "SELECT id, cluster_id FROM c").df()
+    size = members.groupby("cluster_id")["id"].transform("size")
+    want = {int(i): int(n) - 1 for i, n in zip(members["id"], size) if i % 20 == 0 and n > 1}
+    assert want and got.groupby("a").size().to_dict() == want and (got["b"] % 20 != 0).any()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
