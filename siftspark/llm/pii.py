@@ -25,7 +25,9 @@ ROUNDS = 3  #: rounds of pattern and instance scoring
 CONFIDENCE = 0.8  #: of a pattern that may discover instances
 SUPPORT = 3  #: known instances that such a pattern has at least
 HALF = 0.5  #: of all instances of a pattern without enough seeds that have to be known
-LEXICON = 200_000  #: most names and patterns sent to the tasks, best supported first
+LEXICON = 200_000  #: facts (names, words, patterns, forms) up to which all are sent to every task; more are joined with what each block of texts asks for
+BLOCK = 10_000  #: texts of such a block
+RARE = 5e-7  #: of all tokens of the corpus, from which on (and from 5 on) a word is known
 
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
@@ -184,6 +186,31 @@ class Knowledge:
     shapes: dict[str, str] = field(default_factory=dict)
     against: set[tuple[str, str]] = field(default_factory=set)
     instances: dict[str, str] = field(default_factory=dict)
+    table: DataFrame | None = None  #: all of this as (role, x, y), and the sets empty, where it is more than ``LEXICON``
+
+
+def _told(rows) -> Knowledge:
+    """Knowledge of facts (role, x, y)."""
+    known = Knowledge()
+    sets = {"given": known.given, "family": known.family, "word": known.words, "street": known.streets[0], "no street": known.streets[1]}
+    kinds = {"pattern": known.patterns, "last word": known.last_words, "shape": known.shapes, "instance": known.instances}
+    for role, x, y in rows:
+        if role in sets:
+            sets[role].add(x)
+        elif role in kinds:
+            kinds[role][x] = y
+        else:
+            known.against.add((x, y))
+    return known
+
+
+def _asked(text: str) -> set[str]:
+    """Everything that ``find`` may look up for a text."""
+    out = {*_TOKEN.findall(text.lower()), *(w.lower() for w in _TOKEN.findall(text)), *(name.lstrip(".") for _, _, name in _streets(text))}
+    for m in _loose(text, ()):
+        before = _before(text, m.start())
+        out |= {before, before.rsplit(" ", 1)[-1], _shape(m[0]), _key(m[0])}
+    return out
 
 
 def observe(text: str, facts: Counter) -> list[tuple[int, int]]:
@@ -231,18 +258,16 @@ def learn(texts: DataFrame) -> Knowledge:
 
     table = texts.select("text").mapInArrow(facts, "role string, x string, y string, n long").groupBy("role", "x", "y").agg(F.sum("n").alias("n"))
     table = cut(table)
-    known = Knowledge()
-    _learn_patterns(table, known)
-    _learn_names(table, known)
     street = table.filter(F.col("role").isin("street", "no street")).groupBy("x").pivot("role", ["street", "no street"]).agg(F.sum("n")).na.fill(0)
-    good = F.col("street") > F.col("no street")
-    rows = street.select("x", good.alias("good")).orderBy(F.desc("street"), "x").limit(LEXICON).collect()
-    known.streets = ({r["x"] for r in rows if r["good"]}, {r["x"] for r in rows if not r["good"]})
-    return known
+    streets = street.select(F.when(F.col("street") > F.col("no street"), "street").otherwise("no street").alias("role"), "x", F.lit("").alias("y"))
+    told = cut(_learn_patterns(table).unionByName(_learn_names(table)).unionByName(streets))
+    if told.limit(LEXICON + 1).count() > LEXICON:
+        return Knowledge(table=told)
+    return _told(map(tuple, told.collect()))
 
 
-def _learn_patterns(table: DataFrame, known: Knowledge) -> None:
-    """Patterns from seeds; then instances from patterns and patterns from instances in rounds; forms of loose numbers from confident patterns; last words of patterns, for such forms only.
+def _learn_patterns(table: DataFrame) -> DataFrame:
+    """Facts (role, x, y): patterns from seeds; then instances from patterns and patterns from instances in rounds; forms of loose numbers from confident patterns; last words of patterns, for such forms only.
 
     A form is no evidence for a pattern: order numbers look like telephone numbers. A pattern without enough seeds is confirmed by
     ``SUPPORT`` different instances that are seeds or stand behind confident patterns elsewhere, if they are the ``HALF`` of all its instances.
@@ -278,24 +303,29 @@ def _learn_patterns(table: DataFrame, known: Knowledge) -> None:
         confident = cut(confident.unionByName(more))
     lastly = of_kind(seeds, word, F.sum("n"), SUPPORT).select(F.col("p").alias("x"), "kind")
     elsewhere = loose.join(confident, "x", "left_anti").select("i").distinct()
-    for rows, into in ((confident, known.patterns), (lastly, known.last_words), (instances.join(elsewhere, "i", "left_semi"), known.instances)):
-        into.update((r[0], r[1]) for r in rows.collect())
+    instances = instances.join(elsewhere, "i", "left_semi").withColumnRenamed("i", "x")
+    told = _facts_of("pattern", confident).unionByName(_facts_of("last word", lastly)).unionByName(_facts_of("instance", instances))
     # recurrent patterns in front of a form that no seed ever has, nor an instance found, announce something else
     sums = cut(loose.groupBy("x", "y", "p").agg(F.sum("n").alias("n")))
     telling = cut(seeds.select("x").unionByName(confident.select("x")).distinct())
     never = sums.filter((F.col("n") >= SUPPORT) & (F.col("x") != "")).join(telling, "x", "left_anti")
     lasts = sums.groupBy("p", "y").agg(F.sum("n").alias("n")).filter((F.col("n") >= SUPPORT) & (F.col("p") != ""))
     lasts = lasts.join(telling.select(word.alias("p")).distinct(), "p", "left_anti").select(F.col("p").alias("x"), "y")
-    known.against = {(r["x"], r["y"]) for r in never.select("x", "y").unionByName(lasts).collect()}
     rest = sums.join(never.select("x", "y"), ["x", "y"], "left_anti").join(confident, "x", "left")
-    for r in rest.groupBy("y").pivot("kind", list(kinds)).agg(F.sum("n")).na.fill(0).join(rest.groupBy("y").agg(F.sum("n").alias("n")), "y").collect():
-        for kind in kinds:
-            if r[kind] >= SUPPORT and r[kind] >= 0.3 * r["n"]:
-                known.shapes[r["y"]] = kind
+    shapes = rest.groupBy("y").pivot("kind", list(kinds)).agg(F.sum("n")).na.fill(0).join(rest.groupBy("y").agg(F.sum("n").alias("n")), "y")
+    often = [F.when((F.col(k) >= SUPPORT) & (F.col(k) >= 0.3 * F.col("n")), F.lit(k)) for k in reversed(kinds)]
+    shapes = shapes.select(F.col("y").alias("x"), F.coalesce(*often).alias("kind")).filter("kind IS NOT NULL")
+    against = never.select("x", "y").unionByName(lasts).distinct().select(F.lit("against").alias("role"), "x", "y")
+    return told.unionByName(_facts_of("shape", shapes)).unionByName(against)
 
 
-def _learn_names(table: DataFrame, known: Knowledge) -> None:
-    """Pairs of a given and a family name, from owners of mailboxes outwards along the graph of pairs."""
+def _facts_of(role: str, rows: DataFrame) -> DataFrame:
+    """(role, x, y) of rows (x, kind)."""
+    return rows.select(F.lit(role).alias("role"), "x", F.col("kind").alias("y"))
+
+
+def _learn_names(table: DataFrame) -> DataFrame:
+    """Facts (role, x, y) about names and words: pairs of a given and a family name, from owners of mailboxes outwards along the graph of pairs."""
     word = table.filter(F.col("role").isin("lower", "upper")).groupBy("x").agg(F.sum(F.when(F.col("role") == "lower", F.col("n")).otherwise(0)).alias("low"), F.sum("n").alias("n"))
     word = cut(word)
     common = word.filter((F.col("low") >= 0.5 * F.col("n")) & (F.col("n") >= 5)).select(F.col("x").alias("w"))
@@ -311,9 +341,11 @@ def _learn_names(table: DataFrame, known: Knowledge) -> None:
         given = cut(pairs.join(family, pairs.y == family.f).groupBy("x").agg(F.countDistinct("y").alias("k")).filter(F.col("k") >= SUPPORT).select(F.col("x").alias("g")).unionByName(given).distinct())
         family = cut(pairs.join(given, pairs.x == given.g).select(F.col("y").alias("f")).unionByName(family).distinct())
     family = family.join(common, family.f == common.w, "left_anti")
-    known.given = {r[0] for r in given.orderBy("g").limit(LEXICON).collect()}
-    known.family = {r[0] for r in family.orderBy("f").limit(LEXICON).collect()} - known.given
-    known.words = {r[0] for r in word.filter("n >= 5").orderBy(F.desc("n"), "x").select("x").limit(LEXICON).collect()} - known.family
+    family = cut(family.join(given, family.f == given.g, "left_anti"))
+    least = max(5.0, RARE * (word.agg(F.sum("n")).head()[0] or 0))
+    words = word.filter(F.col("n") >= least).join(family, word.x == family.f, "left_anti").select("x")
+    named = lambda role, rows: rows.toDF("x").filter("x IS NOT NULL").select(F.lit(role).alias("role"), "x", F.lit("").alias("y"))
+    return named("given", given).unionByName(named("family", family)).unionByName(named("word", words))
 
 
 def _facts(seen: Counter, tokens: Counter) -> pa.RecordBatch:
@@ -425,15 +457,38 @@ def masked_texts(texts: DataFrame, known: Knowledge) -> DataFrame:
 
     A null text stays null and an empty one empty, with no kinds.
     """
+    schema = "id string, field string, kinds array<string>, masked string"
+
+    def answer(ids, fields, texts: list, known: Knowledge) -> dict:
+        kinds, out = [], []
+        for t in texts:
+            spans = find(t, known) if t else []
+            kinds.append(sorted({k for _, _, k in spans}))
+            out.append(masked(t, spans) if t else t)
+        return {"id": ids, "field": fields, "kinds": pa.array(kinds, pa.list_(pa.string())), "masked": pa.array(out, pa.string())}
+
+    if known.table is not None:
+        blocks = max(1, -(-texts.count() // BLOCK))
+        placed = texts.select("id", "field", "text", F.pmod(F.xxhash64("id", "field"), F.lit(blocks)).alias("block"))
+
+        def ask(batches):
+            for batch in batches:
+                asked = {(b, x) for t, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for x in _asked(t)}
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in asked], pa.int64()), pa.array([x for _, x in asked], pa.string())], names=["block", "x"])
+
+        asked = placed.select("text", "block").mapInArrow(ask, "block long, x string").distinct()
+        told = asked.join(known.table, "x").select("block", "role", "x", "y")
+
+        def block(rows: pa.Table, facts: pa.Table) -> pa.Table:
+            mine = _told(zip(*(facts.column(c).to_pylist() for c in ("role", "x", "y"))))
+            return pa.table(answer(rows.column("id"), rows.column("field"), rows.column("text").to_pylist(), mine))
+
+        return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(block, schema)
+
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def apply(batches):
         for batch in batches:
-            kinds, out = [], []
-            for t in batch.column(2).to_pylist():
-                spans = find(t, shared.value) if t else []
-                kinds.append(sorted({k for _, _, k in spans}))
-                out.append(masked(t, spans) if t else t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.list_(pa.string())), pa.array(out, pa.string())], names=["id", "field", "kinds", "masked"])
-
-    return texts.select("id", "field", "text").mapInArrow(apply, "id string, field string, kinds array<string>, masked string")
+            yield pa.RecordBatch.from_pydict(answer(batch.column(0), batch.column(1), batch.column(2).to_pylist(), shared.value))
+
+    return texts.select("id", "field", "text").mapInArrow(apply, schema)

@@ -112,3 +112,27 @@ def test_masked_texts_keep_nulls(spark):
     df = spark.createDataFrame([("1", "title", None, "x"), ("2", "body", "", "x"), ("3", "body", "see a.b@c.test", "x")], "id string, field string, text string, masked string")
     got = {r["id"]: (r["kinds"], r["masked"]) for r in pii.masked_texts(df, KNOWN).collect()}
     assert got == {"1": ([], None), "2": ([], ""), "3": (["email"], "see [EMAIL]")}
+
+
+def test_all_names_are_looked_up_however_many_there_are(spark, monkeypatch):
+    families = ["Umbsgaard", "Pellarro", "Draxwyn", "Karlfield", "Zestmira"]
+    texts = [f"mail lena_{f.lower()}@harrowby.test or hugo.{f.lower()}@oak.example" for f in families[:3]]
+    texts += [f"Thanks to {g} {f} for it" for g in ("Lena", "Hugo", "Zoriel") for f in families] + ["ZORIEL ZESTMIRA", "9 Main Street", "", None]
+    texts += [f"reach me on the cell 212-555-01{i:02d} now" for i in range(12)] + [f"reach me on the cell 212555014{i}" for i in range(4)]
+    df = spark.createDataFrame([(str(i), "body", t) for i, t in enumerate(texts)], "id string, field string, text string")
+    results = []
+    for most in (10**6, 2):
+        monkeypatch.setattr(pii, "LEXICON", most)
+        monkeypatch.setattr(pii, "BLOCK", 7, raising=False)
+        results.append({r["id"]: (r["kinds"], r["masked"]) for r in pii.masked_texts(df, pii.learn(df)).collect()})
+    assert results[0] == results[1] and len(results[0]) == len(texts)
+    assert results[1]["18"] == (["person_name"], "[PERSON_NAME]")
+
+
+def test_a_word_is_rare_by_the_size_of_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(pii, "RARE", 0.01, raising=False)
+    rows = [f"mail lena_{f}@harrowby.test, hugo.{f}@oak.example" for f in ("umbsgaard", "pellarro")]
+    rows += ["they met lena zestmira", *["the zestmira came"] * 5, "plain words " * 500]
+    known = pii.learn(spark.createDataFrame([(r,) for r in rows], "text string"))
+    assert [k for _, _, k in pii.find("they met lena zestmira", known)] == ["person_name"]
+    assert "plain" in known.words and pii.find("they met lena plain", known) == []
