@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm.vectors import Routed, forest_edges, nearest
+from siftspark.operators.skew import join_by_load
 from siftspark.plans.bounds import bounded
 from siftspark.plans.scratch import cut, drop
 
@@ -93,10 +94,10 @@ def with_copies(labels: DataFrame, routed: Routed, lone: bool = True) -> DataFra
 
 
 def pairs_of_groups(members: DataFrame, group: str, key: str, a: str, b: str) -> DataFrame:
-    """All pairs a < b of the members of each group; as many rows as the groups have pairs."""
-    left = members.select(F.col(group).alias("__g"), F.col(key).alias(a))
-    right = members.select(F.col(group).alias("__g"), F.col(key).alias(b))
-    return left.join(right, "__g").filter(F.col(a) < F.col(b)).select(a, b)
+    """All pairs a < b of the members of each group; as many rows as the groups have pairs. Large groups are cut into shards, each of which meets all members."""
+    members = cut(members.select(F.col(group).alias("__g"), F.col(key).alias(a)))
+    pairs = join_by_load(members, members.withColumnRenamed(a, b), "__g", a)
+    return pairs.filter(F.col(a) < F.col(b)).select(a, b)
 
 
 #: Vertices of a component from which a warning says how much the one task that builds its hierarchy holds; results do not depend on it.
@@ -115,8 +116,8 @@ def _flat(part) -> list[int]:
     return out
 
 
-def condensed(ids: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, floor: float, least: int, most: int) -> list[tuple]:
-    """Selected clusters of one component: (members, stability, exemplars).
+def condensed(ids: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, floor: float, least: int, most: int, tops: list | None = None) -> list[tuple]:
+    """Selected clusters of the components of a forest: (members, stability, exemplars). ``tops`` gets the members of the top of every hierarchy, the cluster that ends at ``floor``.
 
     Edges join in order of falling similarity. A part of at least ``least`` members is a cluster; where two clusters
     join, both end and a new one begins; a smaller part just adds its members, each with the level at which it came in. The
@@ -173,6 +174,8 @@ def condensed(ids: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray,
     out = []
     for r in range(n):
         if root[r] == r and state[r] is not None:
+            if tops is not None:
+                tops.append(np.sort(_flat(parts[r])))
             rest = [close(r, floor)[1]]
             while rest:
                 chosen = rest.pop()
@@ -188,26 +191,36 @@ def condensed(ids: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray,
     return out
 
 
-def clusters(routed: Routed, dim: int, min_samples: int, floor: float, least: int = 5, most: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(clusters, members): clusters (cluster_id, size, stability, exemplars), members (id, cluster_id).
+#: Vertices of the components that one task takes together; a component is never divided.
+TOGETHER = 20_000
 
-    A cluster's id is its least member's. Vectors outside every selected cluster are noise and in neither. Exact copies follow
-    their representative and count in sizes. Each component of the forest at ``floor`` gets its condensed hierarchy, whole, from one
-    task, whatever its size.
+
+def hierarchies(routed: Routed, dim: int, min_samples: int, floor: float, least: int, most: int) -> DataFrame:
+    """(id, top, cluster_id, stability, place) of the representatives in a hierarchy: the least member of the top of its condensed hierarchy,
+    that of its selected cluster, the cluster's stability, and its place among the exemplars; the last three null for what is noise below the top.
+
+    The mutual-reachability graph gives a spanning forest by distributed Borůvka, and each tree of it a condensed hierarchy,
+    whole, in one task, whatever its size.
     """
     edges = cut(reachability_edges(routed, dim, min_samples, floor))
     tree, labels = spanning_tree(edges)
     tree = cut(tree)
-    largest = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
+    if routed.copies.head(1):
+        # copies without another link make a hierarchy of their own
+        alone = routed.copies.select(F.col("rep").alias("id")).distinct().join(labels, "id", "left_anti")
+        labels = labels.unionByName(alone.select("id", F.col("id").alias("label")))
+    whole = cut(labels.select("id", "label"))
+    total = whole.count()
+    largest = whole.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
     if largest > COMPONENT:
         warnings.warn(f"one task builds the hierarchy of a component of {largest} vertices", stacklevel=2)
-    whole = cut(labels.select("id", "label"))
+    task = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // TOGETHER)))).alias("task")
     copies = routed.copies.groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    vertices = whole.join(copies, "id", "left").select("label", "id", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("w"))
+    vertices = whole.join(copies, "id", "left").select(task, "id", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("w"))
     ends = tree.join(whole.withColumnRenamed("id", "a"), "a")
-    ends = ends.select("label", F.col("a").alias("id"), F.lit(None).cast("long").alias("n"), "b", "w")
+    ends = ends.select(task, F.col("a").alias("id"), F.lit(None).cast("long").alias("n"), "b", "w")
 
-    def one(table: pa.Table) -> pa.Table:
+    def some(table: pa.Table) -> pa.Table:
         node = np.asarray(pa.compute.is_null(table.column("b")))
         ids = np.asarray(table.column("id"))
         v = ids[node]
@@ -216,18 +229,35 @@ def clusters(routed: Routed, dim: int, min_samples: int, floor: float, least: in
         n = np.asarray(table.column("n").filter(pa.array(node)))[order]
         b = np.asarray(table.column("b").filter(pa.array(~node)))
         w = np.asarray(table.column("w").filter(pa.array(~node)))
-        rows: dict[str, list] = {"id": [], "cluster_id": [], "stability": [], "place": []}
-        for members, own, typical in condensed(v, n, np.searchsorted(v, ids[~node]), np.searchsorted(v, b), w, floor, least, most):
-            place = {int(t): i + 1 for i, t in enumerate(typical)}
-            rows["id"] += v[members].tolist()
-            rows["cluster_id"] += [int(v[members].min())] * len(members)
-            rows["stability"] += [own] * len(members)
-            rows["place"] += [place.get(int(m)) for m in members]
-        return pa.table({k: pa.array(x, pa.float64() if k == "stability" else pa.int64()) for k, x in rows.items()})
-
-    found = cut(vertices.unionByName(ends).groupBy("label").applyInArrow(one, "id long, cluster_id long, stability double, place long"))
+        top, group, stability, place = (np.full(len(v), x) for x in (-1, -1, np.nan, -1))
+        tops: list[np.ndarray] = []
+        for members, own, typical in condensed(v, n, np.searchsorted(v, ids[~node]), np.searchsorted(v, b), w, floor, least, most, tops):
+            group[members], stability[members] = members.min(), own
+            place[typical] = np.arange(1, len(typical) + 1)
+        for members in tops:
+            top[members] = members.min()
+        kept, chosen = top >= 0, group >= 0
+        values = {"id": pa.array(v), "top": pa.array(v[top]), "cluster_id": pa.array(v[group], mask=~chosen), "stability": pa.array(stability, mask=~chosen), "place": pa.array(place, mask=place < 0)}
+        return pa.table(values).filter(pa.array(kept))
+
+    return vertices.unionByName(ends).groupBy("task").applyInArrow(some, "id long, top long, cluster_id long, stability double, place long")
+
+
+def clusters(routed: Routed, dim: int, min_samples: int, floor: float, least: int = 5, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(clusters, members): clusters (cluster_id, size, stability, exemplars), members (id, cluster_id).
+
+    A cluster's id is its least member's. Vectors outside every selected cluster are noise and in neither. Exact copies follow
+    their representative and count in sizes.
+    """
+    found = cut(hierarchies(routed, dim, min_samples, floor, least, most).filter("cluster_id IS NOT NULL"))
     members = with_copies(found.select("id", F.col("cluster_id").alias("label")), routed, lone=False).select("id", F.col("label").alias("cluster_id"))
     sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     typical = F.transform(F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "id")))), lambda x: x["id"])
     about = found.groupBy("cluster_id").agg(F.max("stability").alias("stability"), typical.alias("exemplars"))
     return sizes.join(about, "cluster_id"), members
+
+
+def tops(routed: Routed, dim: int, floor: float) -> DataFrame:
+    """(id, label) of all vectors in the top of a condensed hierarchy with clusters of two from ``floor`` on; copies follow their representative."""
+    found = hierarchies(routed, dim, 2, floor, 2, 1).select("id", F.col("top").alias("label"))
+    return with_copies(cut(found), routed, lone=False)

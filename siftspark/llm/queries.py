@@ -20,14 +20,13 @@ NEAREST = 5  #: neighbours of an event
 def _routed(spark: SparkSession, folder: str) -> vectors.Routed:
     rows = table(spark, folder, "pain_embeddings")
     usable = vectors.usable_vectors(rows, "pain_event_id", "embedding_vector", "created_at", DIM)
-    return vectors.route(usable, DIM, rows.count())
+    n = rows.count()
+    return vectors.route(usable, DIM, n, sample=vectors.packed(vectors.sampled(rows, "pain_event_id", n), "pain_event_id", "embedding_vector", DIM))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of events linked at 0.85, directly or over a chain: the level set at 0.85 of the hierarchy with min_samples 2."""
-    routed = _routed(spark, folder)
-    _, labels = density.spanning_tree(density.reachability_edges(routed, DIM, 2, LINK))
-    return density.pairs_of_groups(density.with_copies(labels, routed), "label", "id", "event_a", "event_b")
+    """Pairs of events linked at 0.85, directly or over a chain: the members of the tops, at 0.85, of the condensed hierarchies with min_samples 2."""
+    return density.pairs_of_groups(density.tops(_routed(spark, folder), DIM, LINK), "label", "id", "event_a", "event_b")
 
 
 #: Of a cluster: nearest events that make one dense (itself included), least size, exemplars.
@@ -50,9 +49,7 @@ def p1_members(spark: SparkSession, folder: str) -> DataFrame:
 
 def v07_dbscan(spark: SparkSession, folder: str) -> DataFrame:
     """(event_id, label): density clustering at cosine distance 0.15 with two samples; a label is the least id of its group, noise is left out."""
-    routed = _routed(spark, folder)
-    _, labels = density.spanning_tree(density.reachability_edges(routed, DIM, 2, LINK))
-    members = cut(density.with_copies(labels, routed))
+    members = cut(density.tops(_routed(spark, folder), DIM, LINK))
     least = members.groupBy("label").agg(F.min("id").alias("least"))
     return members.join(least, "label").select(F.col("id").alias("event_id"), F.col("least").alias("label"))
 

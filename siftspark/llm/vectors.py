@@ -1,14 +1,17 @@
 """Similarity search over all vectors of a table: coarse p-stable cells over the cluster, fine hashing inside a cell.
 
-A vector travels to its own coarse cell and the likeliest neighbouring ones; a pair is found if both
-visit some cell and, inside it, multiprobe hashing brings them together. Exact copies are folded to
+A coarse hash is the side of a vector along a 2-stable direction, from the median, so that cells hold even shares. A vector
+travels to its own cell and to every cell whose estimated success is high enough: the squared distances to the bounds that
+lead there add up to ``MARGIN`` squared at most. A pair is found if both visit some cell and, inside it, multiprobe hashing brings
+them together. One rule holds at every size; the number of hashes follows the number of rows. Exact copies are folded to
 one representative (the smallest id) before anything is routed, so a group of copies never makes a
-bucket hot. Cells beyond ``CELL_ROWS`` are split by further, finer hashes, level by level, and what
-even those cannot split by comparing fixed-size shards with each other, so no row is ever dropped.
+bucket hot. Cells that stay too large (dense groups, which no hash splits) are compared in blocks: each pair of shards
+of such a cell meets in a block of its own, so no row is dropped and no further pair lost.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass, field
 
@@ -18,13 +21,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftspark.llm.hashing import Hashing, bucket_keys, candidate_blocks, exact_cosines
+from siftspark.llm.hashing import Hashing, candidate_blocks, exact_cosines, projections
 from siftspark.operators.current import current_wide_rows
 from siftspark.plans.bounds import bounded
 from siftspark.plans.scratch import cut
 
-CELL_ROWS = 300_000  #: most rows of a cell: 77 MB of vectors of 64 numbers
-LEVELS = 3  #: levels of finer hashes for cells beyond that
+SHARE = 20_000  #: mean rows of a cell, without the visitors from neighbouring cells
+CELL_ROWS = 80_000  #: rows from which a cell is compared in blocks of shards; two shards of a block hold as many at most: 20 MB of vectors of 64 numbers
+MARGIN = 0.5  #: how far a vector looks across the bounds of its cell; in this unit two unit vectors of cosine c are sqrt(2 - 2c) * a standard normal number apart along a direction
+SAMPLE = 20_000  #: vectors that the medians are taken from, about; every row is indexed
 _FOLD = 2_000_000  #: candidate pairs held in a task before they are reduced
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -56,7 +61,12 @@ def usable_vectors(df: DataFrame, key: str, vector: str, at: str, dim: int) -> D
     Null keys, and vectors that are null, of another length, all zero, or hold a null, NaN or
     infinity are left out. Empty in, empty out; other columns are ignored.
     """
-    rows = current_wide_rows(df, key, at, [vector]).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    return packed(current_wide_rows(df, key, at, [vector]), key, vector, dim)
+
+
+def packed(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
+    """(id, v) of all usable vectors of a table, as float32 bytes."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
 
     def pack(batches):
         for batch in batches:
@@ -85,63 +95,77 @@ def _unbinary(col, dim: int) -> np.ndarray:
 
 @dataclass
 class Routing:
-    """How vectors travel: coarse hashes of level 0, the cells that are split on each level, and shards of what remains."""
+    """How vectors travel: directions of the coarse hashes (one in each row) and their bounds; shards of the cells that are too large; the task of every cell."""
 
-    coarse: Hashing | None
-    hot: list[np.ndarray] = field(default_factory=list)
+    directions: np.ndarray
+    middle: np.ndarray
     shards: dict[int, int] = field(default_factory=dict)
-
-    def cells(self, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) pairs."""
-        n = len(x)
-        if self.coarse is None:
-            rows, cells = np.arange(n), np.zeros(n, dtype=np.int64)
-        else:
-            keys = bucket_keys(x, 1000, self.coarse)
-            rows, cells = np.repeat(np.arange(n), keys.shape[1]), keys.ravel()
-        with np.errstate(over="ignore"):
-            for level, hot in enumerate(self.hot):
-                m = np.isin(cells, hot)
-                if not m.any():
-                    break
-                sub = bucket_keys(x[rows[m]], 1001 + level, Hashing(1, 3, 2.0 / 2**level, 3))
-                finer = (cells[m].astype(np.uint64) * _K1)[:, None] ^ (sub.astype(np.uint64) * _K2)
-                rows = np.concatenate([rows[~m], np.repeat(rows[m], sub.shape[1])])
-                cells = np.concatenate([cells[~m], finer.astype(np.int64).ravel()])
-            if self.shards:
-                m = np.isin(cells, np.fromiter(self.shards, np.int64))
-                kept_r, kept_c = [rows[~m]], [cells[~m]]
-                for cell, g in self.shards.items():
-                    r = rows[cells == cell]
-                    s = (ids[r].astype(np.uint64) * _K1 >> np.uint64(33)).astype(np.int64) % g
-                    for j in range(g):
-                        lo, hi = np.minimum(s, j), np.maximum(s, j)
-                        key = np.uint64(cell & (2**64 - 1)) * _K2 ^ ((lo * g + hi + 1).astype(np.uint64) * _K1)
-                        kept_r.append(r)
-                        kept_c.append(key.astype(np.int64))
-                rows, cells = np.concatenate(kept_r), np.concatenate(kept_c)
+    tasks: dict[int, int] = field(default_factory=dict)
+
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) pairs of unit vectors: the own cell, and all whose crossed bounds are within the margin together."""
+        p = x @ self.directions.T - self.middle
+        rows, cost = np.arange(len(x)), np.zeros(len(x), np.float32)
+        cells = (p > 0) @ (np.int64(1) << np.arange(p.shape[1], dtype=np.int64))
+        for i in range(p.shape[1]):
+            c = cost + p[rows, i] ** 2
+            m = c <= MARGIN**2
+            rows, cells, cost = np.concatenate([rows, rows[m]]), np.concatenate([cells, cells[m] ^ np.int64(1 << i)]), np.concatenate([cost, c[m]])
         return rows, cells
 
+    def blocks(self, rows: np.ndarray, cells: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block) pairs: a cell as it is, or the blocks of pairs of shards that the row takes part in."""
+        if not self.shards:
+            return rows, cells
+        m = np.isin(cells, np.fromiter(self.shards, np.int64))
+        out = [(rows[~m], cells[~m])]
+        for cell, g in self.shards.items():
+            r = rows[cells == cell]
+            with np.errstate(over="ignore"):
+                s = (ids[r].astype(np.uint64) * _K1 >> np.uint64(33)).astype(np.int64) % g
+            for j in range(g):
+                lo, hi = np.minimum(s, j), np.maximum(s, j)
+                out.append((r, block_number(cell, lo * g + hi)))
+        return np.concatenate([r for r, _ in out]), np.concatenate([c for _, c in out])
+
+
+def block_number(cell: int, pair):
+    """The number of a block of a cell; negative, so that it is none of a cell."""
+    with np.errstate(over="ignore"):
+        mixed = np.uint64(cell + 1) * _K2 ^ (np.asarray(pair).astype(np.uint64) + np.uint64(1)) * _K1
+    return (mixed | np.uint64(1 << 63)).astype(np.int64)
+
 
-def coarse_hashing(n: int, cell_rows: int = CELL_ROWS) -> Hashing | None:
-    """Level 0 for n vectors: as many hashes as leave about a seventh of ``cell_rows`` per cell; probes grow alike."""
-    if n <= cell_rows / 7:
-        return None
-    hashes = max(1, math.ceil(math.log(n / (cell_rows / 7)) / math.log(2.6)))
-    return Hashing(1, hashes, 1.5 if hashes < 3 else 2.5, hashes)
+def fitted(sample: DataFrame, dim: int, n: int, share: int = SHARE) -> Routing:
+    """Coarse hashes for n vectors: as many as leave ``share`` rows in a mean cell. The bounds are medians of a sample of bounded size."""
+    hashes = max(0, math.ceil(math.log2(max(1, n) / share)))
+    if not hashes:
+        return Routing(np.empty((0, dim), np.float32), np.empty(0, np.float32))
+    directions, _ = projections(dim, 1000, hashes, 1.0, 7)
+    x = _unbinary(sample.select("v").limit(2 * SAMPLE).toArrow().column("v"), dim)
+    return Routing(directions, np.median(_units(x) @ directions.T, axis=0).astype(np.float32) if len(x) else np.zeros(hashes, np.float32))
+
+
+def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About ``SAMPLE`` of the n rows, by a hash of their key."""
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, SAMPLE / max(1, n))))
 
 
 @dataclass
 class Routed:
-    """``rows`` (cell, id, v) of the representatives; ``copies`` (id, rep) of all exact copies, representatives too."""
+    """``rows`` (task, cell, id, v) of the representatives, each cell in one task; ``copies`` (id, rep) of all exact copies, representatives too."""
 
     rows: DataFrame
     copies: DataFrame
 
 
-def route(vectors: DataFrame, dim: int, n: int, cell_rows: int = CELL_ROWS) -> Routed:
-    """Fold exact copies and send every representative to its cells. ``n`` (about the number of rows) sets the coarse hashes."""
-    routing = Routing(coarse_hashing(n, cell_rows))
+def route(vectors: DataFrame, dim: int, n: int, share: int = SHARE, cell_rows: int = CELL_ROWS, sample: DataFrame | None = None) -> Routed:
+    """Fold exact copies and send every representative to its cells. ``n`` (about the number of rows) sets the coarse hashes.
+
+    ``sample`` (v), for the bounds, is taken of the vectors if not given. Cells of more than ``cell_rows`` rows are taken apart into blocks.
+    Cells and blocks are packed onto tasks by their rows, the largest first, so no two large ones share one by chance.
+    """
+    routing = fitted(sampled(vectors, "id", n) if sample is None else sample, dim, n, share)
 
     def keys(batches):
         mix = np.random.default_rng(11).integers(1, 2**63, (2, dim), dtype=np.uint64) | np.uint64(1)
@@ -154,8 +178,7 @@ def route(vectors: DataFrame, dim: int, n: int, cell_rows: int = CELL_ROWS) -> R
             with np.errstate(over="ignore"):
                 h = [(bits * m).sum(axis=1) for m in mix]
                 h = [((a ^ (a >> np.uint64(31))) * _K2).astype(np.int64) for a in h]
-            ids = np.asarray(batch.column(0))
-            rows, cells = routing.cells(_units(x), ids)
+            rows, cells = routing.visits(_units(x))
             order = np.argsort(rows, kind="stable")
             counts = np.bincount(rows, minlength=len(x))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(cells[order]))
@@ -168,46 +191,53 @@ def route(vectors: DataFrame, dim: int, n: int, cell_rows: int = CELL_ROWS) -> R
     again = bounded(copies.filter("id <> rep").select(F.col("id").alias("__id")))
     reps = lambda df: df.join(again, F.col("id") == F.col("__id"), "left_anti")
 
-    most = lambda df: df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows).collect()
-    found = most(reps(narrow).select(F.explode("cells").alias("cell")))
-    for level in range(LEVELS):
-        if not found:
-            break
-        routing.hot.append(np.array([r["cell"] for r in found], dtype=np.int64))
-        found = most(_sent(reps(vectors), routing, dim, False))
-        found = [r for r in found if r["cell"] not in set(routing.hot[level].tolist())]
-    if found:
-        routing.shards = {r["cell"]: math.ceil(2 * r["n"] / cell_rows) for r in found}
-    return Routed(_sent(reps(vectors), routing, dim, True), copies)
-
+    # one row a cell: about n / share of them
+    sizes = {r["cell"]: r["n"] for r in reps(narrow).select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    routing.shards = {cell: math.ceil(2 * n_ / cell_rows) for cell, n_ in sizes.items() if n_ > cell_rows}
+    loads = {cell: n_ for cell, n_ in sizes.items() if cell not in routing.shards}
+    for cell, g in routing.shards.items():
+        for pair in ((i, j) for i in range(g) for j in range(i, g)):
+            loads[int(block_number(cell, pair[0] * g + pair[1]))] = 2 * sizes[cell] // g
+    spark = vectors.sparkSession
+    most = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    free = [(0, t) for t in range(max(1, min(most, len(loads))))]
+    for cell in sorted(loads, key=lambda c: (-loads[c], c)):
+        used, t = heapq.heappop(free)
+        routing.tasks[cell] = t
+        heapq.heappush(free, (used + loads[cell], t))
+    return Routed(_sent(reps(vectors), routing, dim, len(free)), copies)
+
+
+def _sent(vectors: DataFrame, routing: Routing, dim: int, tasks: int) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast(routing)
 
-def _sent(vectors: DataFrame, routing: Routing, dim: int, whole: bool) -> DataFrame:
     def send(batches):
+        r: Routing = shared.value
+        numbers = np.array(sorted(r.tasks), np.int64)
+        of = np.array([r.tasks[c] for c in numbers.tolist()], np.int32)
         for batch in batches:
             x = _unbinary(batch.column(1), dim)
             if not len(x):
                 continue
             ids = np.asarray(batch.column(0))
-            rows, cells = routing.cells(_units(x), ids)
-            columns = [pa.array(cells), pa.array(ids[rows]), _binary(x[rows])] if whole else [pa.array(cells)]
-            yield pa.RecordBatch.from_arrays(columns, names=["cell", "id", "v"][: len(columns)])
+            rows, cells = r.blocks(*r.visits(_units(x)), ids)
+            # a block that no size was counted for holds no rows; one that a row visits is always there
+            columns = [pa.array(of[np.searchsorted(numbers, cells)]), pa.array(cells), pa.array(ids[rows]), _binary(x[rows])]
+            yield pa.RecordBatch.from_arrays(columns, names=["task", "cell", "id", "v"])
 
-    return vectors.mapInArrow(send, "cell long, id long, v binary" if whole else "cell long")
+    return vectors.mapInArrow(send, "task int, cell long, id long, v binary").repartitionById(tasks, F.col("task"))
 
 
 def fine_hashing(n: int, cell: int) -> Hashing:
-    """Inside a cell of n vectors. Cells differ in their directions, so that a pair which shares several cells has as many
-    chances; the only cell of a small table (number 0) has more tables instead."""
-    seed, tables = 7 + cell % 16, 2 if cell else 5
-    return Hashing(tables, 8, 1.5, 30, seed) if n > 20_000 else Hashing(tables, 6, 1.5, 15, seed)
+    """Inside a cell of n vectors: one hash more for twice the rows. Cells differ in their directions, so that a pair which shares several cells has as many chances."""
+    return Hashing(3, max(1, round(math.log2(max(1, n) / 400))), 1.5, 15, 7 + cell % 16)
 
 
-def _pairs(x: np.ndarray, floor: float, reduce, cell: int, brute: int = 3000) -> None:
+def _pairs(x: np.ndarray, floor: float, reduce, cell: int) -> None:
     """Feed ``reduce`` with codes ``a * n + b`` of found pairs, a != b, in portions of bounded size."""
     n = len(x)
-    h = fine_hashing(n, cell) if n > brute else Hashing(1, 1, 1e9, 0)
     held, count = [], 0
-    for a, b in candidate_blocks(x, h, np.float32(floor - 1e-5)):
+    for a, b in candidate_blocks(x, fine_hashing(n, cell), np.float32(floor - 1e-5)):
         held.append(a * n + b)
         count += len(a)
         if count > _FOLD:
@@ -301,7 +331,7 @@ def _by_cell(rows: DataFrame, dim: int, work) -> DataFrame:
         a, b, w = work(ids[order], x, core, table.column("cell")[0].as_py())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "w": pa.array(w, pa.float64())})
 
-    return rows.groupBy("cell").applyInArrow(one, "a long, b long, w double")
+    return rows.groupBy("task", "cell").applyInArrow(one, "a long, b long, w double")
 
 
 def nearest(routed: Routed, dim: int, k: int, floor: float) -> DataFrame:

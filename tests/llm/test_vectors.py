@@ -46,8 +46,8 @@ def brute_groups(x, floor):
     return {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if label[i] == label[j]}
 
 
-def routed(spark, df, n, cell_rows=vectors.CELL_ROWS):
-    return vectors.route(vectors.usable_vectors(df, "id", "v", "at", DIM), DIM, n, cell_rows)
+def routed(spark, df, n, share=vectors.SHARE, cell_rows=vectors.CELL_ROWS):
+    return vectors.route(vectors.usable_vectors(df, "id", "v", "at", DIM), DIM, n, share, cell_rows)
 
 
 BAD = [(9001, None, 1, ""), (9002, [0.0] * DIM, 1, ""), (9003, [1.0], 1, ""), (9004, [float("nan")] * DIM, 1, ""), (9005, [float("inf")] * DIM, 1, ""), (9006, [None] * DIM, 1, ""), (None, [1.0] * DIM, 1, "")]
@@ -81,7 +81,7 @@ def test_nearest_across_cells_hot_cells_and_shards(spark):
     x = grouped(groups=100, lone=800)
     x[:600] = x[0] + 0.01 * np.random.default_rng(1).standard_normal((600, DIM))  # a dense third that no coarse hash splits
     want = brute_nearest(x, 5, 0.85)
-    got = {(r["a"], r["b"]) for r in vectors.nearest(routed(spark, frame(spark, x), len(x), cell_rows=150), DIM, 5, 0.85).collect()}
+    got = {(r["a"], r["b"]) for r in vectors.nearest(routed(spark, frame(spark, x), len(x), share=150, cell_rows=150), DIM, 5, 0.85).collect()}
     assert len(got & want) >= 0.95 * len(want)
 
 
