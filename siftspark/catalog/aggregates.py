@@ -57,12 +57,18 @@ def g06(t):
 
 @query("g07_cluster_metrics", f"SELECT c.id, count(e.id) AS size, count(DISTINCT f.author) AS authors, count(DISTINCT f.subreddit) AS subreddits, round(avg(CASE WHEN e.id IS NOT NULL THEN {_freq_sql('e.frequency')} END) + 1e-9, 6) AS frequency FROM clusters c LEFT JOIN events_now e ON e.cluster_id = c.id LEFT JOIN filtered_now f ON f.id = e.post_id GROUP BY 1")
 def g07(t):
+    m = cluster_metrics(t)
+    return m.select("id", "size", "authors", "subreddits", F.round(F.col("frequency") + 1e-9, 6).alias("frequency"))
+
+
+def cluster_metrics(t):
+    """(id, size, authors, subreddits, frequency, latest) of every cluster by its current events; zeros and nulls for one without."""
     f = t.filtered("author", "subreddit").select(F.col("id").alias("post_id"), "author", "subreddit")
-    e = t.events("cluster_id", "post_id", "frequency").withColumn("score", X.first_score(F.col("frequency"), L.FREQUENCY, L.FREQUENCY_DEFAULT))
+    e = t.events("cluster_id", "post_id", "frequency", "extracted_at").withColumn("score", X.first_score(F.col("frequency"), L.FREQUENCY, L.FREQUENCY_DEFAULT))
     e = e.filter("cluster_id IS NOT NULL").join(f, "post_id", "left").groupBy(F.col("cluster_id").alias("id"))
-    m = e.agg(_n().alias("size"), F.countDistinct("author").alias("authors"), F.countDistinct("subreddit").alias("subreddits"), F.round(F.avg("score") + 1e-9, 6).alias("frequency"))
+    m = e.agg(_n().alias("size"), F.countDistinct("author").alias("authors"), F.countDistinct("subreddit").alias("subreddits"), F.avg("score").alias("frequency"), F.max("extracted_at").alias("latest"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return t.clusters.select("id").join(m, "id", "left").select("id", zero("size"), zero("authors"), zero("subreddits"), "frequency")
+    return t.clusters.select("id").join(m, "id", "left").select("id", zero("size"), zero("authors"), zero("subreddits"), "frequency", "latest")
 
 
 @query("g08_group_concat_having", "SELECT cluster_id, count(*) AS n, max(total_score) AS best, string_agg(opportunity_name, ', ' ORDER BY opportunity_name) AS names FROM opportunities WHERE opportunity_name IS NOT NULL GROUP BY 1 HAVING count(*) >= 2", now=False)
@@ -155,12 +161,6 @@ def g22(t):
     return t.filtered("pain_keywords").select(F.explode("pain_keywords").alias("keyword")).filter("keyword IS NOT NULL").groupBy("keyword").agg(_n().alias("n"))
 
 
-@query("g23_cluster_summary", "SELECT cluster_id, count(*) AS n, count(DISTINCT emotional_signal) AS emotions, max(length(problem)) AS longest, round(avg(extraction_confidence) + 1e-9, 6) AS confidence FROM events_now WHERE cluster_id IS NOT NULL GROUP BY 1")
-def g23(t):
-    g = t.events("cluster_id", "emotional_signal", "problem", "extraction_confidence").filter("cluster_id IS NOT NULL").groupBy("cluster_id")
-    return g.agg(_n().alias("n"), F.countDistinct("emotional_signal").alias("emotions"), F.max(F.length("problem")).cast("long").alias("longest"), F.round(F.avg("extraction_confidence") + 1e-9, 6).alias("confidence"))
-
-
 @query("g24_tool_counts", "SELECT cluster_id, tool, count(*) AS n FROM (SELECT cluster_id, unnest(from_json(mentioned_tools, '[\"VARCHAR\"]')) AS tool FROM events_now WHERE cluster_id IS NOT NULL AND json_valid(mentioned_tools)) GROUP BY 1, 2")
 def g24(t):
     e = t.events("cluster_id", "mentioned_tools").filter("cluster_id IS NOT NULL")

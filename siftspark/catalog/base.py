@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from siftspark.operators.current import current_rows, current_wide_rows
+from siftspark.plans.bounds import spread
 from siftspark.sources.tables import table
 
 _QUERIES: dict[str, Callable] = {}
@@ -42,8 +43,9 @@ class Tables:
         return self._now("pain_embeddings", "pain_event_id", "created_at", columns, {"embedding_vector"})
 
     def _now(self, name, key, at, columns, wide) -> DataFrame:
-        make = current_wide_rows if wide & set(columns) else current_rows
-        return make(self.raw(name), key, at, list(columns))
+        if wide & set(columns):
+            return spread(current_wide_rows(self.raw(name), key, at, list(columns)), self.raw(name, key), key)
+        return current_rows(self.raw(name), key, at, list(columns))
 
     @cached_property
     def clusters(self) -> DataFrame:

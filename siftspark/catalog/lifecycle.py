@@ -4,31 +4,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftspark.catalog.base import query
-from siftspark.catalog.windows import _SNAPSHOTS, snapshots
 from siftspark.operators.schema import evolve
 
 AS_OF = "TIMESTAMP_NTZ '2024-05-01 00:00:00'"
 _AS_OF = "TIMESTAMP '2024-05-01 00:00:00'"
 
 
-@query("st04_append_members", "SELECT coalesce(e.cluster_id, -1) AS cluster_id, count(*) AS members, min(e.id) AS first FROM events_now e GROUP BY 1")
-def st04(t):
-    return t.events("cluster_id").groupBy(F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id")).agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first"))
-
-
 @query("st06_mark_orphans", f"SELECT id, CASE WHEN cluster_id IS NULL THEN CAST(coalesce(orphan_since, {_AS_OF}) AS VARCHAR) END AS orphan_since FROM events_now")
 def st06(t):
     e = t.events("cluster_id", "orphan_since")
     return e.select("id", F.when(F.col("cluster_id").isNull(), F.coalesce("orphan_since", F.expr(AS_OF)).cast("string")).alias("orphan_since"))
 
 
-@query("st07_touched_clusters", f"SELECT cluster_id, count(*) AS n FROM events_now WHERE cluster_id IN (SELECT cluster_id FROM events_now WHERE extracted_at > {_AS_OF} - INTERVAL 30 DAY) GROUP BY 1")
-def st07(t):
-    e = t.events("cluster_id", "extracted_at")
-    touched = e.filter(f"extracted_at > {AS_OF} - INTERVAL 30 DAY").select("cluster_id").distinct()
-    return e.join(touched, "cluster_id", "left_semi").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("st08_orphan_expiry", f"SELECT id FROM events_now WHERE NOT (cluster_id IS NULL AND coalesce(orphan_since, {_AS_OF}) < {_AS_OF} - INTERVAL 14 DAY)")
 def st08(t):
     gone = f"cluster_id IS NULL AND coalesce(orphan_since, {AS_OF}) < {AS_OF} - INTERVAL 14 DAY"
@@ -47,23 +34,6 @@ def st10(t):
     return t.embeddings().select("pain_event_id").join(gone.select(F.col("id").alias("pain_event_id")), "pain_event_id", "left_anti")
 
 
-@query("st11_change_detection", f"""WITH {_SNAPSHOTS}, l AS (SELECT cluster_id, size AS old FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY hour DESC, id DESC) AS r FROM s) WHERE r = 1),
-n AS (SELECT cluster_id, count(*) AS size FROM events_now WHERE cluster_id IS NOT NULL GROUP BY 1)
-SELECT n.cluster_id, CASE WHEN l.old IS NULL THEN 'new' ELSE nullif(concat_ws('; ', CASE WHEN n.size - l.old >= 5 THEN 'events' END, CASE WHEN n.size - l.old >= 0.1 * l.old THEN 'ratio' END), '') END AS reason FROM n LEFT JOIN l USING (cluster_id)""")
-def st11(t):
-    last = snapshots(t).groupBy("cluster_id").agg(F.max_by("size", F.struct("hour", "id")).alias("old"))
-    now = t.events("cluster_id").filter("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    grown = F.col("size") - F.col("old")
-    why = F.concat_ws("; ", F.when(grown >= 5, "events"), F.when(grown >= 0.1 * F.col("old"), "ratio"))
-    return now.join(last, "cluster_id", "left").select("cluster_id", F.when(F.col("old").isNull(), "new").otherwise(F.nullif(why, F.lit(""))).alias("reason"))
-
-
-@query("st12_snapshot_rows", "SELECT cluster_id, count(*) AS cluster_size, CAST(max(extracted_at) AS VARCHAR) AS latest FROM events_now WHERE cluster_id IS NOT NULL GROUP BY 1")
-def st12(t):
-    e = t.events("cluster_id", "extracted_at").filter("cluster_id IS NOT NULL")
-    return e.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"), F.max("extracted_at").cast("string").alias("latest"))
-
-
 @query("st14_resume", "SELECT id FROM events_now e WHERE cluster_id IS NULL AND EXISTS (SELECT 1 FROM emb_now m WHERE m.pain_event_id = e.id)")
 def st14(t):
     return t.events("cluster_id").filter("cluster_id IS NULL").select("id").join(t.embeddings().select(F.col("pain_event_id").alias("id")), "id", "left_semi")

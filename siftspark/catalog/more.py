@@ -17,26 +17,6 @@ def _n():
     return F.count(F.lit(1))
 
 
-@query("f12_failure_codes", "SELECT id, concat_ws('; ', CASE WHEN coalesce(score, 0) < 5 THEN 'upvotes' END, CASE WHEN coalesce(num_comments, 0) < 3 THEN 'comments' END, CASE WHEN coalesce(upvote_ratio, 0) < 0.1 THEN 'ratio' END) AS codes FROM posts_now")
-def f12(t):
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    codes = F.concat_ws("; ", F.when(zero("score") < 5, "upvotes"), F.when(zero("num_comments") < 3, "comments"), F.when(zero("upvote_ratio") < 0.1, "ratio"))
-    return t.posts("score", "num_comments", "upvote_ratio").select("id", codes.alias("codes"))
-
-
-@query("f17_category_lookup", "SELECT category, count(*) AS n, max(CASE category WHEN 'core' THEN 0.9 WHEN 'secondary' THEN 0.7 WHEN 'verticals' THEN 0.6 WHEN 'experimental' THEN 0.4 ELSE 0.5 END) AS trust FROM posts_now GROUP BY 1")
-def f17(t):
-    dim = t.spark.createDataFrame([("core", 0.9), ("secondary", 0.7), ("verticals", 0.6), ("experimental", 0.4)], "category string, trust double")
-    g = t.posts("category").groupBy("category").agg(_n().alias("n"))
-    return g.join(F.broadcast(dim), "category", "left").select("category", "n", F.coalesce("trust", F.lit(0.5)).alias("trust"))
-
-
-@query("g27_lifecycle_stats", "SELECT coalesce(lifecycle_stage, 'none') AS stage, count(*) AS n, round(100.0 * count(*) FILTER (WHERE cluster_id IS NOT NULL) / count(*), 4) AS retained FROM events_now GROUP BY 1")
-def g27(t):
-    g = t.events("lifecycle_stage", "cluster_id").groupBy(F.coalesce("lifecycle_stage", F.lit("none")).alias("stage"))
-    return g.agg(_n().alias("n"), F.round(F.lit(100.0) * F.count_if(F.col("cluster_id").isNotNull()) / _n(), 4).alias("retained"))
-
-
 @query("g29_pattern_coverage", "SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '[0-9]')) AS numbers, count(*) FILTER (WHERE contains(text, '?')) AS questions, count(*) FILTER (WHERE regexp_matches(lower(text), 'workaround|tool')) AS tools, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL", now=False)
 def g29(t):
     d = t.raw("documents", "text").filter("text IS NOT NULL")
@@ -104,15 +84,6 @@ def j19(t):
     return both.filter(F.contains(F.lower("description"), F.col("last"))).select("id", "cluster")
 
 
-@query("x22_cosine", f"WITH {_V} SELECT a.id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM v a JOIN v b ON b.id = a.id + 1")
-def x22(t):
-    a = _vectors(t).filter(V.usable(F.col("v"), DIM))
-    b = a.select((F.col("id") - 1).alias("id"), F.col("v").alias("u"))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v, u = F.col("v"), F.col("u")
-    return a.join(b, "id").select("id", F.round(dot(v, u) / F.sqrt(dot(v, v) * dot(u, u)), 6).alias("cosine"))
-
-
 @query("x32_title_classifier", "SELECT id, CASE WHEN contains(lower(title), '?') THEN 'question' WHEN contains(lower(title), 'would pay') THEN 'offer' WHEN contains(lower(title), 'problem') THEN 'problem' ELSE 'story' END AS kind FROM posts_now WHERE title IS NOT NULL")
 def x32(t):
     low = F.lower("title")
@@ -126,13 +97,6 @@ def x33(t):
     return t.opportunities.select("id", F.concat_ws(",", F.when(low.contains("inbox"), "email"), F.when(low.contains("chat"), "chat")).alias("flags"))
 
 
-@query("x36_compression_ratio", "SELECT id, round((1 - least(length(problem), 60) / (length(problem) + length(coalesce(context, '')))) * 100 + 1e-9, 6) AS saved FROM events_now WHERE length(problem) > 0")
-def x36(t):
-    n = F.length("problem")
-    saved = (1 - F.least(n, F.lit(60)) / (n + F.length(F.coalesce("context", F.lit(""))))) * 100
-    return t.events("problem", "context").filter(n > 0).select("id", F.round(saved + 1e-9, 6).alias("saved"))
-
-
 _ETEXT = "concat_ws(' | ', nullif(problem, ''), nullif(context, ''))"
 
 

@@ -136,14 +136,3 @@ def x31(t):
     e = t.events("context").filter(F.lower("context").contains("workaround"))
     first = F.filter(F.split("context", r"\."), lambda s: F.lower(s).contains("workaround"))
     return e.select("id", F.trim(F.try_element_at(first, F.lit(1))).alias("sentence"))
-
-
-@query("x35_compact_summary", "SELECT cluster_id, count(*) AS events, string_agg(substr(problem, 1, 200), ' | ' ORDER BY extraction_confidence DESC NULLS LAST, id) AS text FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY extraction_confidence DESC NULLS LAST, id) AS r FROM events_now WHERE cluster_id IS NOT NULL AND problem IS NOT NULL) WHERE r <= 20 GROUP BY 1")
-def x35(t):
-    from pyspark.sql import Window
-
-    e = t.events("cluster_id", "problem", "extraction_confidence").filter("cluster_id IS NOT NULL AND problem IS NOT NULL")
-    r = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc_nulls_last("extraction_confidence"), "id"))
-    e = e.withColumn("r", r).filter("r <= 20")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("r", F.substring("problem", 1, 200).alias("p")))), lambda s: s["p"])
-    return e.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("events"), F.array_join(parts, " | ").alias("text"))

@@ -16,6 +16,12 @@ def _vectors(t):
     return e.select(F.col("pain_event_id").alias("id"), F.col("embedding_vector").alias("v"))
 
 
+def cosine(a, b):
+    """The cosine of two array columns of equal length, summed in double."""
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
 def _top(t, rows, k, floor=-1.0):
     found = V.search(_vectors(t).filter("id % 20 = 0"), rows, DIM, k, floor)
     return found.select("query", "id", F.round("cosine", 6).alias("cosine"))
@@ -56,10 +62,8 @@ def g25(t):
 def g26(t):
     """Mean cosine of the members with their cluster's centroid."""
     rows = _clustered(t)
-    m = V.centroids(rows, "cluster_id", "v").groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "mean"))), lambda s: s["mean"]).alias("m"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    v, c = F.col("v"), F.col("m")
-    cos = dot(v, c) / (F.sqrt(dot(v, v)) * F.sqrt(dot(c, c)))
+    m = V.centroid_vectors(rows, "cluster_id", "v").withColumnRenamed("v", "m")
+    cos = cosine(F.col("v"), F.col("m"))
     return rows.join(m, "cluster_id").groupBy("cluster_id").agg(F.round(F.avg(cos), 6).alias("cohesion"))
 
 
@@ -95,9 +99,3 @@ def st03(t):
     return recent.groupBy(F.col("query").alias("id")).agg(F.count(F.lit(1)).alias("neighbours"))
 
 
-@query("j17_similar_centroids", f"""WITH {_CV}, {_MEAN}, l AS (SELECT cluster_id AS id, list(mean ORDER BY d) AS v FROM m GROUP BY 1)
-SELECT id, other FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.id) AS r FROM l a JOIN l b ON a.id <> b.id) WHERE r = 1""")
-def j17(t):
-    """The most similar other centroid of every cluster."""
-    m = V.centroids(_clustered(t), "cluster_id", "v").groupBy(F.col("cluster_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "mean"))), lambda s: s["mean"]).alias("v"))
-    return V.search(m, m, DIM, 1).select(F.col("query").alias("id"), F.col("id").alias("other"))

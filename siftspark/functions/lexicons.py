@@ -69,3 +69,16 @@ COMPETITORS = {
     "development": ["vs code", "github", "gitlab", "intellij"],
     "communication": ["slack", "discord", "teams", "zoom"],
 }
+#: Kinds of post by a substring of the subreddit, in order, and the least (upvotes, comments) of a kind.
+POST_TYPES = {"technical": ["programming", "sysadmin", "webdev", "technical"], "business": ["entrepreneur", "startups", "business"], "discussion": ["discussion"]}
+POST_TYPE_LEAST = {"technical": (10, 5), "business": (15, 8), "discussion": (5, 15)}
+#: Trust below the bound: least comments, upvotes and engagement; the last tier has no bound.
+TRUST_TIERS = [(0.5, (20, 50, 0.6)), (0.7, (10, 25, 0.4)), (None, (5, 10, 0.2))]
+CATEGORY_TRUST = {"core": 0.9, "secondary": 0.7, "verticals": 0.6, "experimental": 0.4}
+TRUST_DEFAULT = 0.5
+#: Codes of a post that passes the gates but neither path.
+FAILURES = ["insufficient_keywords", "low_emotional_intensity", "low_overall_score"]
+#: Of a comment: least score, length, pain score, keywords, emotion and engagement.
+COMMENT_LEAST = {"score": 10, "length": 30, "pain": 0.3, "keywords": 2, "emotion": 0.2, "engagement": 0.1}
+#: Gate before a cluster is worked on: least size, authors, subreddits and mean frequency.
+CLUSTER_LEAST = {"size": 5, "authors": 4, "subreddits": 1, "frequency": 5.0}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.plans.bounds import BROADCAST_ROWS
+from siftspark.plans.scratch import cut
 
 
 def current_rows(df: DataFrame, key: str, at: str, columns: list[str] | None = None) -> DataFrame:
@@ -37,10 +38,8 @@ def current_wide_rows(df: DataFrame, key: str, at: str, columns: list[str], boun
     columns = [c for c in columns if c not in (key, at)]
     df = df.filter(F.col(key).isNotNull()).select(key, at, *columns)
     again = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col(key).alias("__key"))
-    again = again.persist()
-    n = again.limit(bound + 1).count()
-    if n > bound:
-        again.unpersist()
+    again = cut(again)
+    if again.limit(bound + 1).count() > bound:
         return current_rows(df, key, at, columns)
     hint = F.broadcast(again)
     once = df.join(hint, F.col(key) == F.col("__key"), "left_anti")

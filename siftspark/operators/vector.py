@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftspark.plans.scratch import cut
 
-BLOCK = 20_000  #: query vectors broadcast at once: 5 MB at 64 numbers; more take further passes
+BLOCK = 20_000  #: query vectors that are broadcast: 10 MB at 64 numbers; more meet the rows in a grid of blocks
 
 
 def usable(vector, dim: int):
@@ -27,50 +27,116 @@ def _unit(column, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def search(queries: DataFrame, rows: DataFrame, dim: int, k: int, floor: float = -1.0) -> DataFrame:
-    """(query, id, cosine): for each of ``queries`` (id, v) the k rows (id, v) of highest cosine, then smaller id, itself left out.
+def _met(queries: DataFrame, rows: DataFrame, dim: int, kernel, schema: str, block: int) -> DataFrame:
+    """What ``kernel(query ids, unit queries, a record batch (id, v, ...))`` yields for every query and every row, in one pass over the rows.
 
-    Exact. The queries are broadcast in blocks of ``BLOCK``; every task keeps its own best k a query, and the rest is a
-    top-k by query. Vectors that are not ``usable`` take no part.
+    Up to ``block`` queries are broadcast. More are cut into blocks and so are the rows, and every pair of blocks meets in a group of
+    its own: one shuffle, in which a row travels once for each block of queries and a query once for each block of rows.
     """
     spark = rows.sparkSession
     ok = usable(F.col("v"), dim)
-    queries = cut(queries.filter(ok).select(F.col("id").cast("long").alias("id"), "v"))
-    rows = rows.filter(ok).select(F.col("id").cast("long").alias("id"), "v")
-    bounds = max(1, -(-queries.count() // BLOCK))
-    out = None
-    for i in range(bounds):
-        block = queries if bounds == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(bounds)) == i)
-        held = block.toArrow()
-        ids = np.asarray(held.column("id").combine_chunks()) if held.num_rows else np.empty(0, np.int64)
-        shared = spark.sparkContext.broadcast((ids, _unit(held.column("v").combine_chunks(), dim) if held.num_rows else np.empty((0, dim))))
-
-        def best(batches, shared=shared):
+    queries = queries.filter(ok).select(F.col("id").cast("long").alias("id"), "v")
+    rows = rows.filter(ok).withColumn("id", F.col("id").cast("long"))
+    rows = rows.select("id", "v", *[c for c in rows.columns if c not in ("id", "v")])
+    held = queries.limit(block + 1).toArrow()
+    if held.num_rows <= block:
+        none = not held.num_rows
+        ids = np.empty(0, np.int64) if none else np.asarray(held.column("id").combine_chunks())
+        shared = spark.sparkContext.broadcast((ids, np.empty((0, dim)) if none else _unit(held.column("v").combine_chunks(), dim)))
+
+        def with_all(batches):
             qid, q = shared.value
             for batch in batches:
-                if not batch.num_rows or not len(qid):
-                    continue
-                rid, x = np.asarray(batch.column(0)), _unit(batch.column(1), dim)
-                for s in range(0, len(qid), 500):
-                    cos = (q[s : s + 500] @ x.T).round(12)
-                    cos[qid[s : s + 500, None] == rid[None, :]] = -2
-                    least = np.full(len(cos), max(floor, -1.0))
-                    if cos.shape[1] > k:
-                        # ties with the k-th best stay in; the order below decides among them
-                        least = np.maximum(least, np.partition(cos, -k, axis=1)[:, -k])
-                    a, b = np.nonzero(cos >= least[:, None])
-                    v = cos[a, b]
-                    order = np.lexsort((rid[b], -v, a))
-                    a, b, v = a[order], b[order], v[order]
-                    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[s : s + 500][a[keep]]), pa.array(rid[b[keep]]), pa.array(v[keep])], names=["query", "id", "cosine"])
-
-        one = rows.mapInArrow(best, "query long, id long, cosine double")
-        out = one if out is None else out.unionByName(one)
+                if batch.num_rows and len(qid):
+                    yield from kernel(qid, q, batch)
+
+        return rows.mapInArrow(with_all, schema)
+    queries, rows = cut(queries), cut(rows)
+    down, across = -(-queries.count() // block), max(1, -(-rows.count() // (4 * block)))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("x", part(down)).withColumn("y", every(across))
+    right = rows.withColumn("y", part(across)).withColumn("x", every(down))
+
+    def pair(asked: pa.Table, table: pa.Table) -> pa.Table:
+        found = []
+        if asked.num_rows and table.num_rows:
+            qid, q = np.asarray(asked.column("id").combine_chunks()), _unit(asked.column("v").combine_chunks(), dim)
+            for batch in table.drop_columns(["x", "y"]).combine_chunks().to_batches(max_chunksize=10_000):
+                found += kernel(qid, q, batch)
+        return pa.Table.from_batches(found) if found else kernel.nothing
+
+    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(pair, schema)
+
+
+class _Nearest:
+    """The k rows of highest cosine a query among a batch."""
+
+    nothing = pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+
+    def __init__(self, dim: int, k: int, floor: float):
+        self.dim, self.k, self.floor = dim, k, floor
+
+    def __call__(self, qid, q, batch):
+        rid, x, k = np.asarray(batch.column(0)), _unit(batch.column(1), self.dim), self.k
+        for s in range(0, len(qid), 500):
+            cos = (q[s : s + 500] @ x.T).round(12)
+            cos[qid[s : s + 500, None] == rid[None, :]] = -2
+            least = np.full(len(cos), max(self.floor, -1.0))
+            if cos.shape[1] > k:
+                # ties with the k-th best stay in; the order below decides among them
+                least = np.maximum(least, np.partition(cos, -k, axis=1)[:, -k])
+            a, b = np.nonzero(cos >= least[:, None])
+            v = cos[a, b]
+            order = np.lexsort((rid[b], -v, a))
+            a, b, v = a[order], b[order], v[order]
+            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+            yield pa.RecordBatch.from_arrays([pa.array(qid[s : s + 500][a[keep]]), pa.array(rid[b[keep]]), pa.array(v[keep])], names=["query", "id", "cosine"])
+
+
+class _First:
+    """Of the rows of at least a cosine the one of least ``rank`` a query among a batch."""
+
+    nothing = pa.table({"query": pa.array([], pa.int64()), "rank": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+
+    def __init__(self, dim: int, floor: float):
+        self.dim, self.floor = dim, floor
+
+    def __call__(self, qid, q, batch):
+        rid, x, rank = np.asarray(batch.column(0)), _unit(batch.column(1), self.dim), np.asarray(batch.column(2))
+        order = np.argsort(rank, kind="stable")
+        rid, x, rank = rid[order], x[order], rank[order]
+        for s in range(0, len(qid), 500):
+            cos = (q[s : s + 500] @ x.T).round(12)
+            good = (cos >= self.floor) & (qid[s : s + 500, None] != rid[None, :])
+            a = np.flatnonzero(good.any(axis=1))
+            b = good[a].argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(qid[s : s + 500][a]), pa.array(rank[b]), pa.array(rid[b]), pa.array(cos[a, b])], names=["query", "rank", "id", "cosine"])
+
+
+def search(queries: DataFrame, rows: DataFrame, dim: int, k: int, floor: float = -1.0, block: int = BLOCK) -> DataFrame:
+    """(query, id, cosine): for each of ``queries`` (id, v) the k rows (id, v) of highest cosine, then smaller id, itself left out.
+
+    Exact. Every task keeps its own best k a query, and the rest is a top-k by query. Vectors that are not ``usable`` take no part.
+    """
+    out = _met(queries, rows.select("id", "v"), dim, _Nearest(dim, k, floor), "query long, id long, cosine double", block)
     r = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
     return out.withColumn("r", r).filter(F.col("r") <= k).drop("r")
 
 
+def first_similar(queries: DataFrame, rows: DataFrame, dim: int, floor: float, block: int = BLOCK) -> DataFrame:
+    """(query, id, cosine): for each of ``queries`` (id, v) the row (id, v, rank) of least rank among those of at least ``floor``, itself left out. Ranks are unique."""
+    out = _met(queries, rows.select("id", "v", "rank"), dim, _First(dim, floor), "query long, rank long, id long, cosine double", block)
+    best = out.groupBy("query").agg(F.min(F.struct("rank", "id", "cosine")).alias("m"))
+    return best.select("query", "m.id", "m.cosine")
+
+
 def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, d, mean): the element-wise mean per group, one row a dimension; partial sums travel, not vectors."""
     return rows.select(group, F.posexplode(vector).alias("d", "x")).groupBy(group, "d").agg(F.avg("x").alias("mean"))
+
+
+def centroid_vectors(rows: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group, v): the centroids as arrays; a centroid is one row of as many numbers as a vector has."""
+    m = centroids(rows, group, vector).groupBy(group)
+    return m.agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "mean"))), lambda s: s["mean"]).alias("v"))

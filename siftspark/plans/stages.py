@@ -13,7 +13,7 @@ from siftspark.functions.model import Model, RuleModel, embedded, extract_events
 from siftspark.functions.text import whole_text
 from siftspark.operators.signal import signal_filter
 
-_POST = ("title", "body", "score", "num_comments", "upvote_ratio")
+_POST = ("title", "body", "subreddit", "score", "num_comments", "upvote_ratio", "trust_level", "category")
 
 
 def _extract(t: Tables, model: Model) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.operators import vector
-from siftspark.operators.sinks import upsert_folder
+from siftspark.operators import clusters
+from siftspark.operators.sinks import newest_version, upsert_folder
 from siftspark.plans.bounds import bounded
+from siftspark.plans.scratch import cut
 
 
 def upsert_stream(stream: DataFrame, folder: str, key: str, at: str, checkpoint: str):
@@ -35,27 +36,25 @@ def sessions(stream: DataFrame, at: str, owner: str, gap: str = "30 minutes", la
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(owner, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def assigned(events: DataFrame, clustered: DataFrame, dim: int, neighbours: int = 20, floor: float = 0.75) -> DataFrame:
-    """(id, cluster_id, score) of ``events`` (id, v): the cluster that the nearest clustered vectors (id, cluster_id, v) vote for.
+def assignment_stream(stream: DataFrame, folder: str, dim: int, checkpoint: str):
+    """Start online assignment of a stream of events (id, v, at) over the versioned folder of members (id, v, at, cluster_id, updated).
 
-    Of each event's ``neighbours`` most similar clustered vectors, the mean cosine per cluster plus ln(n + 1) / 10 is
-    the vote; the best cluster counts from ``floor`` on, ties to the smaller id. Events without one are orphans: cluster_id is null.
-    All events of a batch see the clusters as they were when it began.
+    Each micro-batch is decided by ``clusters.assigned`` against the newest version: events join a cluster, found one with three orphans, whose id is then the founder's,
+    or become orphans (cluster_id null); founders' members move with them. Running a batch again changes nothing, as the decisions are upserted by id.
     """
-    near = vector.search(events.select("id", "v"), clustered.select("id", "v"), dim, neighbours)
-    of = clustered.select("id", "cluster_id")
-    votes = near.join(of, "id").groupBy("query", "cluster_id").agg((F.avg("cosine") + F.log(F.count(F.lit(1)) + 1) / 10).alias("score"))
-    best = votes.groupBy(F.col("query").alias("id")).agg(F.max(F.struct("score", (-F.col("cluster_id")).alias("c"))).alias("m"))
-    best = best.filter(F.col("m.score") >= floor).select("id", (-F.col("m.c")).alias("cluster_id"), F.col("m.score").alias("score"))
-    return events.select("id").join(bounded(best), "id", "left")
 
-
-def assignment_stream(stream: DataFrame, clustered: DataFrame, dim: int, folder: str, checkpoint: str):
-    """Start online assignment of a stream of (id, v, at): each micro-batch is assigned against the snapshot and upserted into ``folder``."""
-
-    def step(batch: DataFrame, _: int) -> None:
-        found = assigned(batch, clustered, dim).join(batch.select("id", "at"), "id")
-        upsert_folder(batch.sparkSession, folder, found, "id", "at")
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = cut(batch.filter("id IS NOT NULL").select("id", "v", "at"))
+        paths = newest_version(spark, folder)
+        empty = batch.limit(0).withColumns({"cluster_id": F.lit(None).cast("long"), "updated": F.lit(0).cast("long")})
+        state = spark.read.parquet(*paths) if paths else empty
+        old = state.join(bounded(batch.select("id")), "id", "left_anti")
+        found = cut(clusters.assigned(batch, old.filter("cluster_id IS NOT NULL"), old.filter("cluster_id IS NULL"), dim))
+        into = found.filter("member IS NOT NULL").select(F.col("member").alias("id"), "cluster_id").groupBy("id").agg(F.min("cluster_id").alias("to"))
+        every = batch.unionByName(old.join(into, "id", "left_semi").select("id", "v", "at"))
+        rows = every.join(into, "id", "left").select("id", "v", "at", F.col("to").alias("cluster_id"), F.lit(number + 1).cast("long").alias("updated"))
+        upsert_folder(spark, folder, rows, "id", "updated")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -47,13 +47,29 @@ def test_first_matching_frequency(spark, text, score):
     assert df.select(X.first_score(F.col("f"), L.FREQUENCY, L.FREQUENCY_DEFAULT)).head()[0] == score
 
 
+POST = "id string, title string, body string, subreddit string, score int, num_comments int, upvote_ratio double, trust_level double, category string, text string"
+
+
 def test_signal_filter_takes_nulls_and_empty_tables(spark):
-    schema = "id string, title string, body string, score int, num_comments int, upvote_ratio double, text string"
-    df = spark.createDataFrame([("a", None, None, None, None, None, "clash"), ("b", "So frustrated, this broken manual process", "is terrible and useless, a waste of time " * 3, 50, 50, 0.9, None), ("c", "demo " * 2000, "x", 9, 9, 0.9, "")], schema)
+    bad = ("So frustrated, this broken manual process", "is terrible and useless, a waste of time " * 3)
+    rows = [
+        ("a", None, None, None, None, None, None, None, None, "clash"),
+        ("b", *bad, "r/x", 50, 50, 0.9, None, None, None),
+        ("c", "demo " * 2000, "x", "x", 9, 9, 0.9, None, None, ""),
+        ("business", *bad, "Startups", 14, 9, 0.9, 0.9, None, ""),
+        ("talk", *bad, "x", 6, 13, 0.9, 0.9, None, ""),
+        ("low", *bad, "x", 20, 10, 0.9, 0.4, None, ""),
+        ("dull", "A quiet title about nothing much", "and a body that says little of it " * 2, "x", 20, 10, 0.9, None, "experimental", ""),
+    ]
+    df = spark.createDataFrame(rows, POST)
     got = {r["id"]: r for r in signal_filter(df).collect()}
     assert got["a"]["reason"] == "few upvotes" and got["a"]["pass_type"] is None
-    assert got["b"]["reason"] is None and got["b"]["pass_type"] == "pain"
+    assert got["b"]["reason"] is None and got["b"]["pass_type"] == "pain" and got["b"]["engagement_score"] == 1.0
     assert got["c"]["reason"] == "too long"
+    assert got["business"]["reason"] == "business: few upvotes" and got["talk"]["reason"] == "discussion: few comments"
+    assert got["low"]["reason"] == "low trust: little engagement"
+    assert got["dull"]["reason"] == "failed: insufficient_keywords; low_emotional_intensity; low_overall_score"
+    assert got["dull"]["engagement_score"] == 0.45
     assert signal_filter(df.limit(0)).count() == 0
 
 
