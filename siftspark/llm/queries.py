@@ -157,13 +157,13 @@ def p8_ids(spark: SparkSession, folder: str, tokenizers: str = bpe.FOLDER) -> Da
 
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, item_id, exact, altered, changed): windows of 13 words shared word by word, and with other numbers, names or units."""
+    """(doc_id, item_id, exact, altered, changed): template windows of 13 words shared with the item's own values in the slots, and with other numbers, names or units."""
     return leaks.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with at least 13 consecutive words of an item's passage."""
-    return p9_leaks(spark, folder).filter("exact > 0").select("doc_id", "item_id").distinct()
+    """Documents with at least 13 consecutive words of an item's passage: template windows whose slots hold the item's own values."""
+    return p9_leaks(spark, folder).filter("exact > 0").select("doc_id", "item_id")
 
 
 def p10_subjects(spark: SparkSession, folder: str) -> DataFrame:
