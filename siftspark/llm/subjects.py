@@ -1,9 +1,9 @@
 """Subject areas of documents: bisecting k-means over the corpus, leaves labelled by discriminative terms, leaf mixtures.
 
-Labelled texts give a vocabulary (words and word pairs) and counts per subject. All documents, as normalised
-vectors of their most telling terms, are clustered by bisecting k-means; a leaf gets its subjects from the terms that set it
-off from the corpus. The leaves a term occurs in, over all documents, are the prior of its subject, and the labelled
-counts refine it. A document's subjects follow from the mixture of its terms.
+All documents, as normalised vectors of their most telling terms, are clustered by bisecting k-means. A leaf gets its
+subjects from the terms that set it off from the corpus, as far as labelled texts say what these are about. A term's
+subjects are those of the leaves in which more documents hold it than by chance, over all documents; a document's subjects follow from
+the mixture of leaves that its terms point to. Labelled texts say nothing about a document directly: without leaves there are no subjects.
 """
 
 from __future__ import annotations
@@ -14,35 +14,37 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.plans.scratch import cut
 
-EXAMPLES = 20_000  #: most labelled texts the classifier is fitted on, least ids first
-VOCABULARY = 50_000  #: most terms, those in most labelled texts first
-DIMENSIONS = 1500  #: terms that span the vectors for clustering
-REPEATED = 10_000  #: most further words, of those that repeat inside documents
+EXAMPLES = 20_000  #: most labelled texts the classifier is fitted on, least ids first; all their terms are its vocabulary
+REPEATED = 2e-4  #: of the documents, and at least 5, have to hold a word that joins the vocabulary because it repeats inside them
 BURST = 1.4  #: mean occurrences in the documents that hold a word, from which it counts as repeating
-LEAVES = 250  #: leaves stop splitting at a LEAVES-th of the documents
-LEVELS, STEPS = 9, 3  #: of splits, and k-means passes per level
-BURST_WEIGHT = 1.0  #: of a repeating word in the vectors, beside what the labels tell
-LEAF_WEIGHT = 2.0  #: labelled texts that the prior from the leaves counts for
-SURE = 0.5  #: probability from which a term speaks for a subject
-MENTIONS, SHARE = 3, 0.2  #: a subject needs so many mentions and such a share of all mentions
-MOST = 2  #: subjects of a document, those with most mentions
+DIMENSIONS = 1500  #: terms that span the vectors for clustering
+AXES, PASSES = 40, 3  #: main axes of the vectors, and passes to find them
+LEAVES = 300  #: a leaf with less than a LEAVES-th of the documents is not split
+LEVELS = 8  #: of splits, with one pass over the vectors each
+TELLING = 25  #: discriminative terms that label a leaf
+KNOWN = 3  #: labelled texts from which they alone say whether a term is topical
+TOPICAL = 0.5  #: information of a term on the subject, in nats, or further occurrences inside documents, from which it is a dimension
+FEW = 2.0  #: documents that the corpus as a whole counts for in a term's mixture of leaves
+SURE = 0.8  #: share of a term's mixture from which it speaks for a subject
+MENTIONS, SHARE = 2, 0.25  #: a subject needs so many mentions and such a share of all mentions
+MOST = 2  #: subjects of a document, those with most mentions: a text is about one area, two or none
 _PIECE = re.compile(r"[.!?\n,;:]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def pieces(text: str | None) -> list[list[str]]:
+    """The words of every clause, lower-cased, numbers left out; none for a null text."""
+    return [w for p in _PIECE.split(text.lower()) if (w := [x for x in _WORD.findall(p) if not x.isdigit()])] if text else []
+
+
 def terms(text: str | None) -> list[str]:
-    """Words and pairs of neighbouring words within a clause, lower-cased, numbers left out; none for a null text."""
-    out: list[str] = []
-    for piece in _PIECE.split(text.lower()) if text else ():
-        w = [x for x in _WORD.findall(piece) if not x.isdigit()]
-        out += w
-        out += [f"{a} {b}" for a, b in zip(w, w[1:])]
-    return out
+    """Words and pairs of neighbouring words within a clause."""
+    return [t for w in pieces(text) for t in (*w, *(f"{a} {b}" for a, b in zip(w, w[1:])))]
 
 
 @dataclass
@@ -60,7 +62,8 @@ class Labelled:
 def repeating(docs: DataFrame, text: str, known: Labelled) -> Labelled:
     """``known`` with the words of the corpus, labelled or not, that documents tend to repeat, as words of their subject are.
 
-    Counts cover all documents; the vocabulary grows by at most ``REPEATED`` words.
+    Counts cover all documents; a word in less than ``REPEATED`` of them is left out, so at most 1 / ``REPEATED`` times the mean number of
+    different words of a document can join.
     """
 
     def count(batches):
@@ -79,9 +82,10 @@ def repeating(docs: DataFrame, text: str, known: Labelled) -> Labelled:
                 seen = {}
         yield _rows(seen)
 
+    least = max(5, int(REPEATED * docs.count()))
     words = docs.select(F.col(text).alias("text")).mapInArrow(count, "w string, df long, tf long").groupBy("w").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
-    often = words.filter((F.col("df") >= 5) & (F.col("tf") >= BURST * F.col("df")) & ~F.col("w").rlike("^[0-9]+$"))
-    rows = often.orderBy(F.desc("df"), "w").limit(REPEATED).collect()
+    often = words.filter((F.col("df") >= least) & (F.col("tf") >= BURST * F.col("df")) & ~F.col("w").rlike("^[0-9]+$"))
+    rows = sorted(often.collect(), key=lambda r: r["w"])
     vocabulary = dict(known.vocabulary)
     for r in rows:
         vocabulary.setdefault(r["w"], len(vocabulary))
@@ -107,7 +111,7 @@ def labelled(examples: DataFrame, key: str, text: str, subjects: str) -> Labelle
     for h in held:
         for t in h:
             seen[t] = seen.get(t, 0) + 1
-    kept = sorted((t for t, n in seen.items() if n >= 1), key=lambda t: (-seen[t], t))[:VOCABULARY]
+    kept = sorted(seen)
     vocabulary = {t: i for i, t in enumerate(kept)}
     counts, totals, prior = np.zeros((len(kept), len(names))), np.zeros(len(kept)), np.zeros(len(names))
     for r, h in zip(rows, held):
@@ -120,17 +124,37 @@ def labelled(examples: DataFrame, key: str, text: str, subjects: str) -> Labelle
     return Labelled(names, vocabulary, counts, totals, prior / max(1, len(rows)) + 1e-9, np.zeros(len(kept)))
 
 
-def _sparse(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int]) -> DataFrame:
-    """(key, terms): ids of the vocabulary's terms in each document, repeated as they occur, whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _read(texts: list, at: dict[str, int]) -> list[list[int]]:
+    """For each text a list of (term of a word, term of the pair that it begins), one after the other, -1 where the vocabulary has none; stretches and ends of clauses without are one (-1, -1)."""
+    out = []
+    for x in texts:
+        ids: list[int] = []
+        for w in pieces(x):
+            for i, a in enumerate(w):
+                u, b = at.get(a, -1), at.get(f"{a} {w[i + 1]}", -1) if i + 1 < len(w) else -1
+                if u >= 0 or b >= 0 or ids[-2:] != [-1, -1]:
+                    ids += (u, b)
+            if ids[-2:] != [-1, -1]:
+                ids += (-1, -1)
+        out.append(ids)
+    return out
+
+
+def _sparse(docs: DataFrame, key: str, text: str, known: Labelled, place: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """(key, terms, d, v): the terms of each document, whole texts, and its unit vector."""
+    shared = docs.sparkSession.sparkContext.broadcast((known.vocabulary, place, weight))
 
     def apply(batches):
-        at = shared.value
+        at, place, weight = shared.value
         for batch in batches:
-            ids = [[at[t] for t in terms(x) if t in at] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["key", "terms"])
+            ids = pa.array(_read(batch.column(1).to_pylist(), at), pa.list_(pa.int32()))
+            n, row, term = _flat(ids)
+            x = _vectors(n, row[term >= 0], term[term >= 0], place, weight)
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(x.row, minlength=n))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in (x.d.astype(np.int16), x.value.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, *lists], names=["key", "terms", "d", "v"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(apply, "key long, terms array<int>")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(apply, "key long, terms array<int>, d array<short>, v array<float>")
 
 
 @dataclass
@@ -161,163 +185,276 @@ def _vectors(n: int, row: np.ndarray, term: np.ndarray, place: np.ndarray, weigh
 
 
 class Tree:
-    """Splits of nodes: the first child of a node, and what leads to the second one: a term's presence at first, then the nearer centre."""
+    """Splits of nodes: the first child of a node, and the direction and bound beyond which a vector belongs to the second one."""
 
-    def __init__(self, dimensions: int):
+    def __init__(self, axes: np.ndarray):
+        self.axes = axes  #: of the terms' dimensions, a row each
         self.child = np.full(1, -1)
-        self.term = np.full(1, -1)
-        self.centre = np.zeros((1, dimensions), np.float32)
-        self.lean = np.zeros((1, dimensions), np.float32)  #: second child's centre minus the first one's
-
-    def split(self, node: int, term: int) -> None:
-        n = len(self.child)
-        self.child, self.term = (np.append(x, [-1, -1]) for x in (self.child, self.term))
-        self.centre, self.lean = (np.concatenate([x, np.zeros((2, x.shape[1]), np.float32)]) for x in (self.centre, self.lean))
-        self.child[node], self.term[node] = n, term
+        self.lean = np.zeros((1, axes.shape[1]))
+        self.bound = np.zeros(1)
+
+    def dense(self, x: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors along the axes, and which rows have any."""
+        y = np.zeros((x.n, self.axes.shape[1]))
+        starts = np.flatnonzero(np.append(True, x.row[1:] != x.row[:-1])) if len(x.row) else np.empty(0, np.int64)
+        if len(starts):
+            y[x.row[starts]] = np.add.reduceat(self.axes[x.d] * x.value[:, None], starts)
+        norm = np.sqrt((y * y).sum(axis=1))
+        return y / np.maximum(norm, 1e-12)[:, None], norm > 1e-9
+
+    def split(self, node: int, direction: np.ndarray, bound: float) -> None:
+        n, r = len(self.child), self.lean.shape[1]
+        self.child, self.lean, self.bound = np.append(self.child, [-1, -1]), np.concatenate([self.lean, np.zeros((2, r))]), np.append(self.bound, [0.0, 0.0])
+        self.child[node], self.lean[node], self.bound[node] = n, direction, bound
 
     def recentre(self, node: int, sums: dict[int, np.ndarray]) -> None:
+        """From now on the nearer centre decides."""
         first = self.child[node]
-        for c in (first, first + 1):
-            if c in sums:
-                v = sums[c][0, :-1]
-                self.centre[c] = v / max(1e-9, np.linalg.norm(v))
-        self.lean[node] = self.centre[first + 1] - self.centre[first]
-        self.term[node] = -1
-
-    def leaves(self, x: Rows) -> np.ndarray:
+        if first in sums and first + 1 in sums:
+            r = self.lean.shape[1]
+            one, two = (sums[c][:r] / max(1e-9, np.linalg.norm(sums[c][:r])) for c in (first, first + 1))
+            self.lean[node], self.bound[node] = two - one, 0.0
+
+    def leaves(self, y: np.ndarray) -> np.ndarray:
         """The leaf of every row, level by level."""
-        node = np.zeros(x.n, np.int64)
+        node = np.zeros(len(y), np.int64)
         while (self.child[node] >= 0).any():
-            at = node[x.row]
-            right = np.bincount(x.row, x.value * self.lean[at, x.d], minlength=x.n) > 0
-            right |= np.bincount(x.row, self.term[at] == x.d, minlength=x.n) > 0
+            right = (y * self.lean[node]).sum(axis=1) > self.bound[node]
             node = np.where(self.child[node] >= 0, self.child[node] + right, node)
         return node
 
 
-def _grow(sparse: DataFrame, place: np.ndarray, weight: np.ndarray) -> Tree:
-    """Bisecting k-means over all documents, all large leaves of a level at once; sums come from partial aggregates per (node, term)."""
+def _stored(d, v) -> Rows:
+    n, row, at = _flat(d)
+    return Rows(n, row, at.astype(np.int64), _flat(v)[2].astype(np.float64))
+
+
+def _summed(rows: DataFrame) -> dict[int, dict]:
+    """Sums of (node, d, s) by node and d, as arrays (d, s) a node."""
+    table = rows.groupBy("node", "d").agg(F.sum("s").alias("s")).toArrow()
+    node, d, s = (np.asarray(table.column(c)) for c in ("node", "d", "s"))
+    order = np.argsort(node, kind="stable")
+    edge = np.append(np.flatnonzero(np.append(True, np.diff(node[order]) > 0)), len(node)) if len(node) else np.zeros(1, np.int64)
+    return {int(node[order[i]]): (d[order[i:j]], s[order[i:j]]) for i, j in zip(edge, edge[1:])}
+
+
+def _axes(sparse: DataFrame, dimensions: int) -> np.ndarray:
+    """The main axes of all vectors, by subspace iteration: terms that occur in the same documents come to lie alike.
+
+    Each pass multiplies the axes with the vectors there and back, DIMENSIONS x AXES sums a task, and the driver makes them orthogonal.
+    """
+    r = min(AXES, dimensions)
+    axes = np.linalg.qr(np.random.default_rng(5).standard_normal((dimensions, r)))[0]
+    for _ in range(PASSES):
+        shared = sparse.sparkSession.sparkContext.broadcast(axes)
+
+        def there_and_back(batches, shared=shared):
+            e = shared.value
+            total = np.zeros(e.shape)
+            for batch in batches:
+                x = _stored(batch.column(0), batch.column(1))
+                if not len(x.row):
+                    continue
+                starts = np.flatnonzero(np.append(True, x.row[1:] != x.row[:-1]))
+                y = np.add.reduceat(e[x.d] * x.value[:, None], starts)
+                back = np.repeat(y, np.diff(np.append(starts, len(x.row))), axis=0) * x.value[:, None]
+                order = np.argsort(x.d, kind="stable")
+                at = np.flatnonzero(np.append(True, np.diff(x.d[order]) > 0))
+                total[x.d[order[at]]] += np.add.reduceat(back[order], at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(total.size, np.int64)), pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["node", "d", "s"])
+
+        found = _summed(sparse.select("d", "v").mapInArrow(there_and_back, "node long, d long, s double")).get(0)
+        if found is None:
+            break
+        total = np.zeros(dimensions * r)
+        total[found[0]] = found[1]
+        axes = np.linalg.qr(total.reshape(dimensions, r))[0]
+    return axes
+
+
+def _grow(sparse: DataFrame, dimensions: int) -> Tree:
+    """Bisecting k-means over all documents, all large leaves of a level at once, with one pass a level.
+
+    A pass sends every vector down the tree and sums, per node, vectors and their products of pairs, partially in every task. A node is split across its
+    widest direction at first; the next pass gives its children's centres, and from then on the nearer centre decides, so that each further pass also is a step of k-means for all
+    levels above. At most 2 ** LEVELS nodes' sums reach the driver.
+    """
     spark = sparse.sparkSession
-    size = len(weight) + 1
-    tree = Tree(len(weight))
+    tree = Tree(_axes(sparse, dimensions))
+    r = tree.axes.shape[1]
+    size = r + r * r + 1
 
     def sums():
-        shared = spark.sparkContext.broadcast((tree, place, weight))
+        shared = spark.sparkContext.broadcast(tree)
 
         def apply(batches):
-            t, p, w = shared.value
-            total = np.zeros((2, len(t.child) * size))
+            t = shared.value
+            total = np.zeros((len(t.child), size))
             for batch in batches:
-                x = _vectors(*_flat(batch.column(0)), p, w)
-                node = t.leaves(x)
-                code = node[x.row] * size + x.d
-                total[0] += np.bincount(code, x.value, minlength=total.shape[1])
-                total[1] += np.bincount(code, x.value * x.value, minlength=total.shape[1])
-                some = np.bincount(x.row, minlength=x.n) > 0
-                total[0] += np.bincount(node[some] * size + size - 1, minlength=total.shape[1])
-            code = np.flatnonzero(total[0])
-            yield pa.RecordBatch.from_arrays([pa.array(code // size), pa.array(code % size), pa.array(total[0, code]), pa.array(total[1, code])], names=["node", "d", "s", "q"])
-
-        rows = sparse.select("terms").mapInArrow(apply, "node long, d long, s double, q double").groupBy("node", "d").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).toArrow()
-        node, d, s, q = (np.asarray(rows.column(c)) for c in ("node", "d", "s", "q"))
+                y, some = t.dense(_stored(batch.column(0), batch.column(1)))
+                y = y[some]
+                node = t.leaves(y)
+                for n in np.unique(node).tolist():
+                    z = y[node == n]
+                    total[n] += np.concatenate([z.sum(axis=0), (z.T @ z).ravel(), [len(z)]])
+            node, d = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(d), pa.array(total[node, d])], names=["node", "d", "s"])
+
         out = {}
-        for n in np.unique(node).tolist():
-            v = np.zeros((2, size))
-            m = node == n
-            v[0, d[m]], v[1, d[m]] = s[m], q[m]
-            out[n] = v
+        for n, (d, s) in _summed(sparse.select("d", "v").mapInArrow(apply, "node long, d long, s double")).items():
+            out[n] = np.zeros(size)
+            out[n][d] = s
         return out
 
-    now = sums()
-    total = sum(v[0, -1] for v in now.values())
-    for _ in range(LEVELS):
-        fresh = []
-        for n in sorted(n for n, v in now.items() if v[0, -1] > max(20, total / LEAVES)):
-            mean = now[n][0, :-1] / now[n][0, -1]
-            spread = now[n][1, :-1] / now[n][0, -1] - mean**2
-            if spread.max() > 1e-9:
-                tree.split(n, int(spread.argmax()))
-                fresh.append(n)
-        if not fresh:
-            break
-        for _ in range(STEPS):
-            now = sums()
-            for n in fresh:
-                tree.recentre(n, now)
+    total = 0.0
+    for level in range(LEVELS + 1):
         now = sums()
+        total = total or sum(v[-1] for v in now.values())
+        every: dict[int, np.ndarray] = {}
+        for n in range(len(tree.child) - 1, -1, -1):  # sums of inner nodes, from their children
+            parts = [x for x in ([every.get(c) for c in (tree.child[n], tree.child[n] + 1)] if tree.child[n] >= 0 else [now.get(n)]) if x is not None]
+            if parts:
+                every[n] = sum(parts)
+        for n in np.flatnonzero(tree.child >= 0).tolist():
+            tree.recentre(n, every)
+        if level == LEVELS:
+            break
+        grown = False
+        for n in sorted(n for n, v in now.items() if v[-1] > max(20, total / LEAVES)):
+            mean = now[n][:r] / now[n][-1]
+            values, vectors = np.linalg.eigh(now[n][r:-1].reshape(r, r) / now[n][-1] - np.outer(mean, mean))
+            if values[-1] > 1e-9:
+                # the sign of an axis is free; this one does not depend on the library
+                v = vectors[:, -1] * np.sign(vectors[np.abs(vectors[:, -1]).argmax(), -1])
+                tree.split(n, v, float(mean @ v))
+                grown = True
+        if not grown:
+            break
     return tree
 
 
-def classified(docs: DataFrame, key: str, text: str, known: Labelled) -> DataFrame:
-    """(key, subjects, mentions): the subjects of every document with a key, sorted, and the number of telling terms.
-
-    Null, empty and blank texts, and texts without telling terms, have no subjects. Every document takes part in the clustering
-    and in the counts of terms by leaf.
-    """
-    spark = docs.sparkSession
-    known = repeating(docs, text, known)
-    size, k = len(known.vocabulary), len(known.subjects)
-    sparse = cut(_sparse(docs.filter(F.col(key).isNotNull()), key, text, known.vocabulary))
-    if not size or not k:
-        return sparse.select("key", F.array().cast("array<string>").alias("subjects"), F.lit(0).cast("long").alias("mentions"))
+def _spanned(known: Labelled) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(flat, gain, place, weight): the subjects of terms by the labelled texts, what they tell, and the dimensions of the vectors with their weights."""
+    k = len(known.subjects)
     flat = (known.counts + 2 * known.prior) / (known.totals[:, None] + 2)
     gain = (flat * np.log(np.maximum(flat / known.prior, 1e-9))).sum(axis=1)
     gain = np.maximum(0, gain - 0.5 * (k - 1) / (2 * (known.totals + 2)))
-    pull = gain + BURST_WEIGHT * known.burst
-    top = np.argsort(-(gain * np.minimum(known.totals, 6) + 6 * BURST_WEIGHT * known.burst), kind="stable")[:DIMENSIONS]
-    top = top[pull[top] > 0]
+    # where enough labelled texts hold a term these decide, else what repeats inside documents counts too
+    pull = np.where(known.totals >= KNOWN, gain, np.maximum(gain, known.burst))
+    top = np.argsort(-(pull * np.minimum(np.maximum(known.totals, KNOWN * (known.burst > 0)), KNOWN)), kind="stable")[:DIMENSIONS]
+    top = top[pull[top] >= TOPICAL]
     if not len(top):
         top = np.array([0])
-    place = np.full(size, -1)
+    place = np.full(len(known.vocabulary), -1)
     place[top] = np.arange(len(top))
-    weight = pull[top].astype(np.float32)
-    tree = _grow(sparse, place, weight)
+    return flat, gain, place, pull[top].astype(np.float32)
+
 
-    shared = spark.sparkContext.broadcast((tree, place, weight))
+def _leaf_counts(sparse: DataFrame, tree: Tree, size: int) -> DataFrame:
+    """(node, t, n): documents of each leaf that hold a term; t = -1 counts all its documents."""
+    shared = sparse.sparkSession.sparkContext.broadcast(tree)
 
-    def leaf_terms(batches):
-        t, p, w = shared.value
+    def count(batches):
+        seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            rows_, row, flat_terms = _flat(batch.column(0))
-            x = _vectors(rows_, row, flat_terms, p, w)
-            node = np.where(np.bincount(x.row, minlength=x.n) > 0, t.leaves(x), -1)
-            pairs = np.unique(row * size + flat_terms)
-            cell, n = np.unique(node[pairs // size] * size + pairs % size, return_counts=True)
-            ids, many = np.unique(node, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(cell // size, ids)), pa.array(np.append(cell % size, np.full(len(ids), -1))), pa.array(np.append(n, many))], names=["node", "t", "n"])
-
-    rows = sparse.select("terms").mapInArrow(leaf_terms, "node long, t long, n long").filter("node >= 0").groupBy("node", "t").agg(F.sum("n").alias("n")).toArrow()
-    node, t, n = (np.asarray(rows.column(c)) for c in ("node", "t", "n"))
-    leaves, index = np.unique(node, return_inverse=True)
-    held = np.zeros((len(leaves), size), np.float32)
-    held[index[t >= 0], t[t >= 0]] = n[t >= 0]
-    docs_in = np.zeros(len(leaves))
-    docs_in[index[t < 0]] = n[t < 0]
-    inside = held / np.maximum(docs_in[:, None], 1)
-    everywhere = held.sum(axis=0) / max(1, docs_in.sum())
-    telling = np.where(held >= 3, inside * np.log(np.maximum(inside / np.maximum(everywhere, 1e-9), 1e-9)), 0).clip(0)
-    leaf_subject = np.zeros((len(leaves), k))
-    for i in range(len(leaves)):
-        best = np.argsort(-telling[i])[:25]
-        v = (telling[i, best, None] * (flat[best] - known.prior).clip(0) * gain[best, None]).sum(axis=0)
-        leaf_subject[i] = v / v.sum() if v.sum() else known.prior / known.prior.sum()
-    base = (docs_in[:, None] * leaf_subject).sum(axis=0) / max(1, docs_in.sum()) if len(leaves) else known.prior
-    by_leaf = (held.T @ leaf_subject.astype(np.float32) + 5 * base) / (held.sum(axis=0)[:, None] + 5)
-    chance = (known.counts + LEAF_WEIGHT * by_leaf) / (known.totals[:, None] + LEAF_WEIGHT)
-    speaks = np.where(chance.max(axis=1) >= SURE, chance.argmax(axis=1), -1)
-    told = spark.sparkContext.broadcast((speaks, known.subjects))
+            x = _stored(batch.column(1), batch.column(2))
+            n, row, term = _flat(batch.column(0))
+            y, some = shared.value.dense(x)
+            node = np.where(some, shared.value.leaves(y), -1)
+            pairs = np.unique(row[term >= 0] * size + term[term >= 0])
+            pairs = pairs[node[pairs // size] >= 0]
+            codes = np.concatenate([node[pairs // size] * (size + 1) + pairs % size, node[node >= 0] * (size + 1) + size])
+            codes, many = np.unique(np.concatenate([seen[0], codes]), return_inverse=True)
+            counts = np.bincount(many, np.concatenate([seen[1], np.ones(len(many) - len(seen[1]))])).astype(np.int64)
+            seen = codes, counts
+            if len(codes) > 2_000_000:
+                yield rows(*seen)
+                seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield rows(*seen)
+
+    def rows(codes, counts):
+        t = codes % (size + 1)
+        return pa.RecordBatch.from_arrays([pa.array(codes // (size + 1)), pa.array(np.where(t == size, -1, t)), pa.array(counts)], names=["node", "t", "n"])
+
+    return sparse.select("terms", "d", "v").mapInArrow(count, "node long, t long, n long").groupBy("node", "t").agg(F.sum("n").alias("n"))
+
+
+def speakers(sparse: DataFrame, tree: Tree, known: Labelled, flat: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The main subject of the mixture of leaves that each term points to, or -1, and its share."""
+    spark, size, k = sparse.sparkSession, len(known.vocabulary), len(known.subjects)
+    counts = cut(_leaf_counts(sparse, tree, size))
+    docs_in = {r["node"]: r["n"] for r in counts.filter("t = -1").collect()}  # one row a leaf
+    total = sum(docs_in.values())
+    says, share = np.full(size, -1), np.zeros(size)
+    if not total:
+        return says, share
+    leaf = spark.createDataFrame([(n, float(m)) for n, m in docs_in.items()], "node long, docs double")
+    every = counts.filter("t >= 0").groupBy("t").agg(F.sum("n").alias("all"))
+    rows = counts.filter("t >= 0").join(F.broadcast(leaf), "node").join(every, "t")
+    lift = (F.col("n") / F.col("docs")) * F.log(F.col("n") * F.lit(float(total)) / (F.col("docs") * F.col("all")))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("lift"), "t"))
+    telling = rows.filter("n >= 3").withColumn("lift", lift).filter("lift > 0").withColumn("r", best).filter(F.col("r") <= TELLING).select("node", "t", "lift").collect()
+    subject = {n: np.zeros(k) for n in docs_in}
+    for r in telling:
+        subject[r["node"]] += r["lift"] * gain[r["t"]] * (flat[r["t"]] - known.prior).clip(0)
+    # a leaf without a telling term of any subject points nowhere
+    subject = {n: v**2 / (v**2).sum() for n, v in subject.items() if v.sum() > 0}
+    if not subject:
+        return says, share
+    of = spark.createDataFrame([(n, v.tolist()) for n, v in subject.items()], "node long, subject array<double>")
+    # documents beyond those that chance would give the leaf, times how far they are beyond
+    chance = F.col("docs") * F.col("all") / F.lit(float(total))
+    points = rows.withColumn("x", (F.col("n") - chance) * F.log(F.col("n") / chance)).filter(F.col("n") > chance).join(F.broadcast(of), "node")
+    mixed = points.groupBy("t").agg(*[F.sum(F.col("x") * F.col("subject")[i]).alias(f"s{i}") for i in range(k)]).toArrow()
+    mix = np.stack([np.asarray(mixed.column(f"s{i}")) for i in range(k)], axis=1).reshape(-1, k)
+    base = sum(docs_in[n] * v for n, v in subject.items()) / sum(docs_in[n] for n in subject)
+    mix = (mix + FEW * base) / (mix.sum(axis=1, keepdims=True) + FEW)
+    t = np.asarray(mixed.column("t"))
+    says[t], share[t] = mix.argmax(axis=1), mix.max(axis=1)
+    return says, share
+
+
+def mentions(n: int, row: np.ndarray, term: np.ndarray, says: np.ndarray, k: int) -> np.ndarray:
+    """Mentions of every subject in each of n documents, from the flat lists of ``_read``. Neighbouring words that speak for one subject are one mention."""
+    word, pair, row = term[::2], term[1::2], row[::2]
+    s = np.append(says, -1)  # -1 of an unknown term is the last one
+    claim = s[word]
+    by_pair = s[pair]
+    before = np.append(-1, by_pair[:-1])[: len(by_pair)]
+    claim = np.where(by_pair >= 0, by_pair, np.where((before >= 0) & (word >= 0), before, claim))
+    fresh = claim >= 0
+    fresh[1:] &= (claim[1:] != claim[:-1]) | (row[1:] != row[:-1])
+    out = np.zeros((n, k), np.int64)
+    np.add.at(out, (row[fresh], claim[fresh]), 1)
+    return out
+
+
+def classified(docs: DataFrame, key: str, text: str, known: Labelled) -> DataFrame:
+    """(key, subjects, mentions): the subjects of every document with a key, sorted, and the number of mentions of any.
+
+    Null, empty and blank texts, and texts without telling terms, have no subjects. Every document takes part in the clustering
+    and in the counts of terms by leaf.
+    """
+    spark = docs.sparkSession
+    docs = docs.filter(F.col(key).isNotNull())
+    known = repeating(docs, text, known)
+    k = len(known.subjects)
+    if not known.vocabulary or not k:
+        return docs.select(F.col(key).cast("long").alias("key"), F.array().cast("array<string>").alias("subjects"), F.lit(0).cast("long").alias("mentions"))
+    flat, gain, place, weight = _spanned(known)
+    sparse = cut(_sparse(docs, key, text, known, place, weight))
+    tree = _grow(sparse, len(weight))
+    says, share = speakers(sparse, tree, known, flat, gain)
+    told = spark.sparkContext.broadcast((np.where(share >= SURE, says, -1), known.subjects))
 
     def decide(batches):
         says, names = told.value
         for batch in batches:
-            rows_, row, flat_terms = _flat(batch.column(1))
-            s = says[flat_terms]
-            mix = np.zeros((rows_, len(names)), np.int64)
-            np.add.at(mix, (row[s >= 0], s[s >= 0]), 1)
+            mix = mentions(*_flat(batch.column(1)), says, len(names))
             total = mix.sum(axis=1)
             place_in_mix = np.argsort(np.argsort(-mix, axis=1, kind="stable"), axis=1)
             yes = (mix >= MENTIONS) & (mix >= SHARE * total[:, None]) & (place_in_mix < MOST)
             found = [[names[j] for j in np.flatnonzero(y)] for y in yes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), pa.array(total)], names=["key", "subjects", "mentions"])
 
-    return sparse.mapInArrow(decide, "key long, subjects array<string>, mentions long")
+    return sparse.select("key", "terms").mapInArrow(decide, "key long, subjects array<string>, mentions long")
