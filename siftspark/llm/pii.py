@@ -1,11 +1,12 @@
 """Personal information in free text: bootstrapped contextual extraction and typed placeholders.
 
-Seeds are entities in unmistakable forms (a mailbox at a dotted domain, a number with a country code, a
-``first.last`` mailbox that names its owner). They induce lexical patterns, the words in front of an instance;
-Spark scores the graph of patterns and instances over the whole corpus, round by round: a pattern counts as far as its
-instances are known, an instance as far as its patterns are, and instances found so confirm new patterns. Patterns of high confidence
-discover identifiers in forms that prove nothing by themselves, and name pairs discover further given and family names. Mailboxes and
-street addresses take part with their fixed forms only (and the names of streets).
+Seeds are entities in unmistakable forms (``SEEDS``: a plain mailbox, a number with a country code, national identity numbers, a numbered
+street with its type in full, a ``first.last`` mailbox that names its owner). They induce lexical patterns, the words in front of an instance.
+Spark scores the graph of patterns, instances and forms over the whole corpus, round by round, for mailboxes, phones, identity numbers and
+street addresses alike: a pattern counts as far as its instances are known, an instance as far as its patterns are, and a form (a veiled
+mailbox, a national number, a foreign street) counts as far as its instances stand behind confident patterns. What is found so confirms further
+patterns, until nothing changes. No form but the seeds is taken for personal information unless the corpus has taught it, or a pattern in front does.
+Name pairs discover further given and family names in the same way.
 """
 
 from __future__ import annotations
@@ -21,7 +22,11 @@ from pyspark.sql import functions as F
 from siftspark.plans.scratch import cut
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
-ROUNDS = 3  #: rounds of pattern and instance scoring
+#: Kinds and forms that prove themselves. Every country's identity number stands behind words of its own, so each of these forms is a seed.
+SEEDS = {("email", "plain"), ("phone", "country"), ("street_address", "full"), *(("id_number", form) for form in ("social", "insurance", "passport", "tax"))}
+ROUNDS = 8  #: most rounds of pattern, instance and form scoring; they end when nothing changes
+ACCEPT = 0.25  #: of the different instances of a form that have to stand behind confident patterns of its kind, from which on the form counts
+NAME_ROUNDS = 3  #: rounds along the graph of name pairs
 CONFIDENCE = 0.8  #: of a pattern that may discover instances
 SUPPORT = 3  #: known instances that such a pattern has at least
 HALF = 0.5  #: of all instances of a pattern without enough seeds that have to be known
@@ -34,30 +39,31 @@ _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _LOCAL = r"[a-z0-9](?:[a-z0-9._%+-]*[a-z0-9])?"
 _EMAIL = re.compile(
     rf"(?<![a-z0-9._%+/@-])(?:"
-    rf"{_LOCAL}(?:\s?@\s?|\s?[\[({{]\s?at\s?[\])}}]\s?){_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[a-z]{{2,}}"
-    rf"|{_LOCAL}\sat\s{_LABEL}(?:\sdot\s{_LABEL})*\sdot\s[a-z]{{2,}}"
-    rf"|(?-i:{_LOCAL}\sAT\s{_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}})"
-    rf"|[a-z0-9]+[._+][a-z0-9._+]*[a-z0-9]\sat\s{_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}}"
+    rf"(?P<plain>{_LOCAL}@{_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}})"
+    rf"|(?P<veiled>{_LOCAL}(?:\s?@\s?|\s?[\[({{]\s?at\s?[\])}}]\s?){_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[a-z]{{2,}})"
+    rf"|(?P<spoken>{_LOCAL}\sat\s{_LABEL}(?:\sdot\s{_LABEL})*\sdot\s[a-z]{{2,}})"
+    rf"|(?P<shouted>(?-i:{_LOCAL}\sAT\s{_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}}))"
+    rf"|(?P<worded>[a-z0-9]+[._+][a-z0-9._+]*[a-z0-9]\sat\s{_LABEL}(?:\.{_LABEL})*\.[a-z]{{2,}})"
     rf")(?![a-z0-9])",
     re.I,
 )
 _EXT = r"(?:[ ,]*(?:ext\.?|extension|x)\s*\d{1,5})?"
 _PHONE = re.compile(
     r"(?<![\w.+/-])(?:"
-    r"(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}"
-    r"|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}"
-    r"|(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}"
-    r"|07\d{3}[ .-]?\d{3}[ .-]?\d{3}"
-    r"|0\d{2,4}[ /-]\d{4,8}(?:-\d{1,4})?"
+    r"(?P<country>(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4})"
+    r"|(?P<area>\(\d{3}\)[ .-]?\d{3}[ .-]\d{4})"
+    r"|(?P<ten>(?:1[ .-])?\d{3}(?P<gap>[ .-])\d{3}(?P=gap)\d{4})"
+    r"|(?P<mobile>07\d{3}[ .-]?\d{3}[ .-]?\d{3})"
+    r"|(?P<zero>0\d{2,4}[ /-]\d{4,8}(?:-\d{1,4})?)"
     r")" + _EXT + r"(?![\w/-]|\.\d)",
     re.I,
 )
 _ID = re.compile(
     r"(?<![\w./-])(?:"
-    r"\d{3}([- ])\d{2}\1\d{4}"
-    r"|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]"
-    r"|[A-Z]\d\d[A-Z]\d{5}"
-    r"|\d\d/\d{3}/\d{5}"
+    r"(?P<social>\d{3}(?P<gap>[- ])\d{2}(?P=gap)\d{4})"
+    r"|(?P<insurance>[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D])"
+    r"|(?P<passport>[A-Z]\d\d[A-Z]\d{5})"
+    r"|(?P<tax>\d\d/\d{3}/\d{5})"
     r")(?![\w/-]|\.\d)"
 )
 #: Forms that prove nothing by themselves: a pattern in front has to.
@@ -68,7 +74,7 @@ _STREET = f"(?:{_TYPES}|{_TYPES.upper()})"
 _UNIT = r"(?:Apt|APT|Apartment|Flat|FLAT|Unit|Suite|Ste)\.? ?#?\w{1,5}"
 _TOWN = r"(?:,\s{1,2}(?:\d{4,5} )?[A-Z][\w-]+(?: \d{4,6}\b)?)?"
 #: From a house number on. Group 1: the last word of the street's name.
-_NUMBERED = re.compile(rf"\d{{1,5}}[A-Za-z]?,? (?:[NSEW]\.? )?(?:[A-Z][\w'-]+ ){{0,2}}([A-Z][\w'-]+) {_STREET}\b\.?(?:,? {_UNIT}\b)?{_TOWN}")
+_NUMBERED = re.compile(rf"\d{{1,5}}[A-Za-z]?,? (?:[NSEW]\.? )?(?:[A-Z][\w'-]+ ){{0,2}}([A-Z][\w'-]+) ({_STREET})\b\.?(?:,? {_UNIT}\b)?{_TOWN}")
 _NUMBERED_LOW = re.compile(rf"\d{{1,5}}[a-z]? ([a-z][\w'-]+) (?:{_TYPES.lower()})\b\.?")
 _UNIT_BEFORE = re.compile(rf"{_UNIT},? $")
 #: A street's name up to its number, where the number follows.
@@ -84,13 +90,25 @@ _BRACKETED = ("(at", "[at", "{at", "( at", "[ at", "{ at")
 _PLAIN_AT = re.compile(r"[._+]\w+ at \w")
 _AT = re.compile(r"@|[\[({]\s?at\s?[\])}]|\sat\s", re.I)
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_PAIR = re.compile(r"(?<![\w@/.+-])([A-Z][a-z]{1,20})(?:,? (?:[A-Z]\. )?|, )([A-Z][a-z]{2,20})(?:-([A-Z][a-z]{2,20}))?(?![\w@]|[.+-]\w)")
-_OWNER = re.compile(r"^([a-z]{2,20})[._]([a-z]{3,20})$")
+_PAIR = re.compile(r"(?<![\w@/.+-])([A-Z][a-z]+)(?:,? (?:[A-Z]\. )?|, )([A-Z][a-z]{2,})(?:-([A-Z][a-z]{2,}))?(?![\w@]|[.+-]\w)")
+_OWNER = re.compile(r"^([a-z]{2,})[._]([a-z]{3,})$")
+_DOT_AFTER = re.compile(r"[a-z0-9-]+\sdot\s", re.I)
+
+
+def _back(text: str, at: int, n: int) -> int:
+    """Where the last n tokens before a place begin, however long they are."""
+    while n and at > 0:
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        blank = text.rfind(" ", 0, at)
+        at = max(blank, text.rfind("\n", blank + 1, at), text.rfind("\t", blank + 1, at)) + 1
+        n -= 1
+    return at
 
 
 def _before(text: str, start: int) -> str:
     """The pattern of an instance: the last two words in front, in the same line."""
-    line = text[max(0, start - 40) : start].rsplit("\n", 1)[-1]
+    line = text[_back(text, start, 3) : start].rsplit("\n", 1)[-1]
     return " ".join(w.lower() for w in _WORDS.findall(line)[-2:])
 
 
@@ -100,82 +118,86 @@ def _shape(instance: str) -> str:
 
 def _key(instance: str) -> str:
     """The same for all spellings of a number."""
-    return re.sub(r"[^\dA-Za-z]", "", instance).upper()
+    return re.sub(r"[\W_]", "", instance).upper()
 
 
 def _streets(text: str):
-    """(start, end, name) of street addresses with a house number in front or behind; lower-cased name, with a dot if the text has it in lower case."""
+    """(start, end, name, form) of street addresses with a house number in front or behind; lower-cased name, with a dot if the text has it in lower case."""
     for h in _HOUSE.finditer(text):
         a = h.start()
         m = _NUMBERED.match(text, a)
-        name = m[1].lower() if m else ""
+        name, form = (m[1].lower(), "full" if len(m[2]) > 4 else "short") if m else ("", "")
         if not m:
             m = _NUMBERED_LOW.match(text, a)
-            name = "." + m[1] if m else ""
+            name, form = ("." + m[1], "lower") if m else ("", "")
         if m:
             unit = _UNIT_BEFORE.search(text, max(0, a - 20), a)
-            yield (unit.start() if unit else a), m.end(), name
+            yield (unit.start() if unit else a), m.end(), name, form
             continue
         end = text[max(0, a - 8) : a].rstrip().lower()
-        front = _NUMBER_LAST.search(text[max(0, a - 40) : a]) if end.endswith(_STREET_ENDS) else None
-        if front is None and _LEADS.search(text, max(0, a - 60), a):
-            front = _LED.search(text[max(0, a - 60) : a])
+        front = _NUMBER_LAST.search(text[_back(text, a, 2) : a]) if end.endswith(_STREET_ENDS) else None
+        form = "number last"
+        if front is None and a and text[a - 1].isspace() and _LEADS.search(text, begin := _back(text, a, 8), a):
+            front, form = _LED.search(text[begin:a]), "led"
         elif front and not (front[0][0].isupper() or "str" in front[0].lower()):
             front = None
         if front:
-            yield a - len(front[0]), _AFTER_NUMBER.match(text, a).end(), ""
+            yield a - len(front[0]), _AFTER_NUMBER.match(text, a).end(), "", form
+
+
+def _mailbox(text: str, at, last: int):
+    """The mailbox around an at-sign, or None; it begins in the token in front of it."""
+    begin = max(last, _back(text, at.start(), 1), 0)
+    for a in range(begin, at.start()):
+        m = _EMAIL.match(text, a)
+        if m:
+            return m if m.end() > at.end() else None
+    return None
 
 
 def _spans(text: str, streets=None):
-    """Spans of seed forms, (start, end, kind), not overlapping, in the order emails, addresses, ids, phones.
+    """Spans of forms, (start, end, kind, form), not overlapping, in the order emails, addresses, ids, phones.
 
     The costly forms are only tried around an at-sign or its spellings and around runs of digits. ``streets`` (good, bad) are
     the names of streets known to stand after numbers, and without them; a name in lower case has to be known.
     """
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str, str]] = []
 
-    def add(a, b, kind):
-        if all(b <= s or e <= a for s, e, _ in taken):
-            taken.append((a, b, kind))
+    def add(a, b, kind, form):
+        if all(b <= s or e <= a for s, e, _, _ in taken):
+            taken.append((a, b, kind, form))
 
     last = -1
     low = text.lower()
     for at in _AT.finditer(text) if "@" in low or " AT " in text or "dot" in low or any(x in low for x in _BRACKETED) or _PLAIN_AT.search(low) else ():
-        if at[0][0].isspace() and not at[0].isupper() and " dot " not in text[at.end() : at.end() + 60].lower():
-            local = text[max(0, at.start() - 64) : at.start()].split()[-1:]
-            if not local or not re.search(r"\w[._+]\w", local[0]):
-                continue
-        a = max(last, at.start() - 80, 0)
-        while 0 < a < at.start() and not text[a - 1].isspace() and a > last:
-            a += 1
-        for m in _EMAIL.finditer(text, a, min(len(text), at.end() + 120)):
-            if m.start() < at.end() and m.end() > at.start():
-                add(m.start(), m.end(), "email")
-                last = m.end()
-                break
+        if at[0][0].isspace() and not at[0].isupper() and not _DOT_AFTER.match(text, at.end()) and not re.search(r"\w[._+]\w", text[_back(text, at.start(), 1) : at.start()]):
+            continue
+        m = _mailbox(text, at, last)
+        if m:
+            add(m.start(), m.end(), "email", m.lastgroup)
+            last = m.end()
     if _HOUSE.search(text):
-        for a, b, name in _streets(text):
+        for a, b, name, form in _streets(text):
             if streets is None or not name or (name[1:] in streets[0] if name[0] == "." else name not in streets[1]):
-                if streets is not None or name[:1] != ".":
-                    add(a, b, "street_address")
+                add(a, b, "street_address", form)
     for d in _MANY_DIGITS.finditer(text):
-        a, b = max(0, d.start() - 12), d.end() + 14
-        for form, kind in ((_ID, "id_number"), (_PHONE, "phone")):
-            for m in form.finditer(text, a, min(len(text), b)):
-                add(m.start(), m.end(), kind)
+        a, b = max(0, d.start() - 12), d.end() + 24
+        for forms, kind in ((_ID, "id_number"), (_PHONE, "phone")):
+            for m in forms.finditer(text, a, min(len(text), b)):
+                add(m.start(), m.end(), kind, next(n for n, v in m.groupdict().items() if v is not None and n != "gap"))
     return taken
 
 
 def _loose(text: str, spans):
     for d in _MANY_DIGITS.finditer(text):
         for m in _LOOSE.finditer(text, max(0, d.start() - 3), min(len(text), d.end() + 2)):
-            if all(m.end() <= s or e <= m.start() for s, e, _ in spans):
+            if all(m.end() <= x[0] or x[1] <= m.start() for x in spans):
                 yield m
 
 
 @dataclass
 class Knowledge:
-    """What the corpus taught: names, words that are none, streets, patterns of two words and of one, forms of numbers, numbers that stand behind a pattern elsewhere, and (pattern, form) that announce something else."""
+    """What the corpus taught: names, words that are none, streets, patterns of two words and of one, shapes of numbers, instances that stand behind a pattern elsewhere, forms of a kind, and (pattern, shape) that announce something else."""
 
     given: set[str] = field(default_factory=set)
     family: set[str] = field(default_factory=set)
@@ -186,6 +208,7 @@ class Knowledge:
     shapes: dict[str, str] = field(default_factory=dict)
     against: set[tuple[str, str]] = field(default_factory=set)
     instances: dict[str, str] = field(default_factory=dict)
+    forms: set[tuple[str, str]] = field(default_factory=set)
     table: DataFrame | None = None  #: all of this as (role, x, y), and the sets empty, where it is more than ``LEXICON``
 
 
@@ -199,6 +222,8 @@ def _told(rows) -> Knowledge:
             sets[role].add(x)
         elif role in kinds:
             kinds[role][x] = y
+        elif role == "form":
+            known.forms.add((x, y))
         else:
             known.against.add((x, y))
     return known
@@ -206,7 +231,9 @@ def _told(rows) -> Knowledge:
 
 def _asked(text: str) -> set[str]:
     """Everything that ``find`` may look up for a text."""
-    out = {*_TOKEN.findall(text.lower()), *(w.lower() for w in _TOKEN.findall(text)), *(name.lstrip(".") for _, _, name in _streets(text))}
+    out = {*_TOKEN.findall(text.lower()), *(w.lower() for w in _TOKEN.findall(text)), *(name.lstrip(".") for _, _, name, _ in _streets(text)), *KINDS}
+    for a, b, _, _ in _spans(text):
+        out |= {_before(text, a), _key(text[a:b])}
     for m in _loose(text, ()):
         before = _before(text, m.start())
         out |= {before, before.rsplit(" ", 1)[-1], _shape(m[0]), _key(m[0])}
@@ -216,27 +243,27 @@ def _asked(text: str) -> set[str]:
 def observe(text: str, facts: Counter) -> list[tuple[int, int]]:
     """Count what a text shows: (role, x, y) facts about instances, patterns, streets and names. Returns the spans of mailboxes, whose parts are no words."""
     spans = _spans(text)
-    for a, b, kind in spans:
+    for a, b, kind, form in spans:
         if kind == "email":
             m = _OWNER.match(re.split(r"[@\s\[({]", text[a:b].lower(), maxsplit=1)[0])
             if m:
                 facts["owner", m[1], m[2]] += 1
         elif kind == "street_address":
-            for _, _, name in _streets(text[a:b]):
-                facts["street", name, ""] += 1
-        else:
-            facts["seed " + kind, _before(text, a), text[a:b]] += 1
+            for _, _, name, _ in _streets(text[a:b]):
+                facts["street", name.lstrip("."), ""] += 1
+        role = f"seed {kind}" if (kind, form) in SEEDS else f"form {kind}|{form}"
+        facts[role, _before(text, a), text[a:b]] += 1
     for m in _loose(text, spans):
         facts["loose", _before(text, m.start()), m[0]] += 1
     for m in _BARE_STREET.finditer(text) if any(t in text for t in _TYPE_LIST) else ():
         facts["no street", m[1].lower(), ""] += 1
     for m in _PAIR.finditer(text):
-        if all(m.end() <= s or e <= m.start() for s, e, _ in spans):
+        if all(m.end() <= x[0] or x[1] <= m.start() for x in spans):
             inverted = "," in m[0][len(m[1]) : len(m[1]) + 2]
             for family in filter(None, (m[2], m[3])):
                 x, y = (family, m[1]) if inverted else (m[1], family)
                 facts["pair", x.lower(), y.lower()] += 1
-    return [(a, b) for a, b, kind in spans if kind == "email"]
+    return [(a, b) for a, b, kind, _ in spans if kind == "email"]
 
 
 def learn(texts: DataFrame) -> Knowledge:
@@ -267,17 +294,19 @@ def learn(texts: DataFrame) -> Knowledge:
 
 
 def _learn_patterns(table: DataFrame) -> DataFrame:
-    """Facts (role, x, y): patterns from seeds; then instances from patterns and patterns from instances in rounds; forms of loose numbers from confident patterns; last words of patterns, for such forms only.
+    """Facts (role, x, y): patterns from seeds; then, in rounds, instances from patterns, forms from instances, and patterns from instances; shapes of loose numbers from confident patterns; last words of patterns, for such shapes only.
 
-    A form is no evidence for a pattern: order numbers look like telephone numbers. A pattern without enough seeds is confirmed by
-    ``SUPPORT`` different instances that are seeds or stand behind confident patterns elsewhere, if they are the ``HALF`` of all its instances.
+    A form is no evidence by itself: order numbers look like telephone numbers. It counts from ``SUPPORT`` different instances on that stand behind confident
+    patterns of its kind, or are known from elsewhere, if they are ``ACCEPT`` of all. A pattern without enough seeds is confirmed by
+    ``SUPPORT`` different known instances if they are the ``HALF`` of all its instances.
     """
-    kinds = ("phone", "id_number")
-    plain = F.when(F.col("role") == "seed phone", F.regexp_replace("y", r"(?i)[ ,]*(?:ext\.?|extension|x)\s*\d{1,5}$", "")).otherwise(F.col("y"))
-    facts = table.filter(F.col("role").startswith("seed ") | (F.col("role") == "loose")).select("role", "x", "y", "n", F.upper(F.regexp_replace(plain, r"[^\p{Nd}A-Za-z]", "")).alias("i"))
-    facts = cut(facts)
-    every_seed = facts.filter("role <> 'loose'").select(F.substring("role", 6, 100).alias("kind"), "x", "i", "n")
+    kinds = ("phone", "id_number", "email", "street_address")
+    plain = F.when(F.col("role").endswith(" phone") | F.col("role").contains(" phone|"), F.regexp_replace("y", r"(?i)[ ,]*(?:ext\.?|extension|x)\s*\d{1,5}$", "")).otherwise(F.col("y"))
+    facts = table.filter(F.col("role").startswith("seed ") | F.col("role").startswith("form ") | (F.col("role") == "loose"))
+    facts = cut(facts.select("role", "x", "y", "n", F.upper(F.regexp_replace(plain, r"[^\p{L}\p{Nd}]", "")).alias("i")))
+    every_seed = facts.filter(F.col("role").startswith("seed ")).select(F.substring("role", 6, 100).alias("kind"), "x", "i", "n")
     seeds = every_seed.filter("x <> ''")
+    formed = facts.filter(F.col("role").startswith("form ")).select(F.substring_index(F.substring("role", 6, 100), "|", 1).alias("kind"), F.substring_index("role", "|", -1).alias("form"), "x", "i", "n")
     word = F.element_at(F.split("x", " "), -1)
 
     def of_kind(rows: DataFrame, key, count, least: int) -> DataFrame:
@@ -292,19 +321,32 @@ def _learn_patterns(table: DataFrame) -> DataFrame:
     sure = cut(of_kind(every_seed, F.col("i"), F.sum("n"), 1).select(F.col("p").alias("i"), "kind"))
     stands = cut(facts.select("x", "i").distinct())
     of_all = stands.filter("x <> ''").groupBy("x").agg(F.count(F.lit(1)).alias("all"))
-    instances = sure
+    of_form = formed.groupBy("kind", "form").agg(F.countDistinct("i").alias("all"))
+    # last words alone, and patterns of a single seed, are weaker: they may confirm forms and shapes, but find nothing by themselves
+    lastly = cut(of_kind(seeds, word, F.sum("n"), SUPPORT).select(F.col("p").alias("x"), "kind"))
+    weak = cut(of_kind(seeds, F.col("x"), F.sum("n"), 1).select(F.col("p").alias("x"), "kind"))
+    backed = formed.withColumn("w", word).join(lastly.withColumnRenamed("x", "w"), ["w", "kind"]).select("i", "kind", "form")
+    backed = backed.unionByName(formed.join(weak, ["x", "kind"]).select("i", "kind", "form"))
+    instances, forms = sure, formed.select("kind", "form").limit(0)
     for _ in range(ROUNDS):
-        found = of_kind(loose.join(confident, "x"), F.col("i"), F.sum("n"), 1).select(F.col("p").alias("i"), "kind")
-        instances = cut(sure.unionByName(found.join(sure, "i", "left_anti")))
+        behind = loose.join(confident, "x").select("i", "kind", "n").unionByName(formed.join(confident, ["x", "kind"]).select("i", "kind", "n"))
+        found = of_kind(behind, F.col("i"), F.sum("n"), 1).select(F.col("p").alias("i"), "kind")
+        known = cut(sure.unionByName(found.join(sure, "i", "left_anti")))
+        met = formed.join(known, ["i", "kind"]).select("i", "kind", "form").unionByName(backed).groupBy("kind", "form").agg(F.countDistinct("i").alias("known")).join(of_form, ["kind", "form"])
+        grown = cut(met.filter((F.col("known") >= SUPPORT) & (F.col("known") >= ACCEPT * F.col("all"))).select("kind", "form").unionByName(forms).distinct())
+        by_form = of_kind(formed.join(grown, ["kind", "form"]), F.col("i"), F.sum("n"), 1).select(F.col("p").alias("i"), "kind")
+        instances = cut(known.unionByName(by_form.join(known, "i", "left_anti")))
         more = of_kind(stands.filter("x <> ''").join(confident, "x", "left_anti").join(instances, "i"), F.col("x"), F.count(F.lit(1)), SUPPORT)
         more = cut(more.withColumnRenamed("p", "x").join(of_all, "x").filter(F.col("known") >= HALF * F.col("all")).select("x", "kind"))
-        if not more.head(1):
+        still = grown.count() == forms.count() and not more.head(1)
+        forms = grown
+        if still:
             break
         confident = cut(confident.unionByName(more))
-    lastly = of_kind(seeds, word, F.sum("n"), SUPPORT).select(F.col("p").alias("x"), "kind")
-    elsewhere = loose.join(confident, "x", "left_anti").select("i").distinct()
+    elsewhere = loose.select("x", "i").unionByName(formed.join(forms, ["kind", "form"], "left_anti").select("x", "i")).join(confident, "x", "left_anti").select("i").distinct()
     instances = instances.join(elsewhere, "i", "left_semi").withColumnRenamed("i", "x")
     told = _facts_of("pattern", confident).unionByName(_facts_of("last word", lastly)).unionByName(_facts_of("instance", instances))
+    told = told.unionByName(forms.select(F.lit("form").alias("role"), F.col("kind").alias("x"), F.col("form").alias("y")))
     # recurrent patterns in front of a form that no seed ever has, nor an instance found, announce something else
     sums = cut(loose.groupBy("x", "y", "p").agg(F.sum("n").alias("n")))
     telling = cut(seeds.select("x").unionByName(confident.select("x")).distinct())
@@ -337,7 +379,7 @@ def _learn_names(table: DataFrame) -> DataFrame:
     pairs = cut(pairs.join(mostly, pairs.y == mostly.w2, "left_semi"))
     given = cut(owners.groupBy("x").agg(F.countDistinct("y").alias("k")).filter("k >= 2").select(F.col("x").alias("g")))
     family = cut(owners.join(given, owners.x == given.g, "left_semi").select(F.col("y").alias("f")).distinct())
-    for _ in range(ROUNDS):
+    for _ in range(NAME_ROUNDS):
         given = cut(pairs.join(family, pairs.y == family.f).groupBy("x").agg(F.countDistinct("y").alias("k")).filter(F.col("k") >= SUPPORT).select(F.col("x").alias("g")).unionByName(given).distinct())
         family = cut(pairs.join(given, pairs.x == given.g).select(F.col("y").alias("f")).unionByName(family).distinct())
     family = family.join(common, family.f == common.w, "left_anti")
@@ -361,12 +403,15 @@ _INITIAL = re.compile(r"(?<![\w.])[A-Z]\.\s{1,2}[A-Z][a-z]")
 
 def find(text: str, known: Knowledge) -> list[tuple[int, int, str]]:
     """Sorted spans (start, end, kind) of all personal information in a text."""
-    spans = _spans(text, known.streets)
+    spans = []
+    for a, b, kind, form in _spans(text, known.streets):
+        if (kind, form) in SEEDS or (kind, form) in known.forms or kind in (known.patterns.get(_before(text, a)), known.instances.get(_key(text[a:b]))):
+            spans.append((a, b, kind))
     for m in list(_loose(text, spans)):
         before = _before(text, m.start())
         kind = known.patterns.get(before)
-        if kind is None:
-            # a form that mostly announces one kind, unless its pattern announces something else
+        if kind not in ("phone", "id_number"):
+            # a shape that mostly announces one kind, unless its pattern announces something else
             shape, last = _shape(m[0]), before.rsplit(" ", 1)[-1]
             kind = known.instances.get(_key(m[0])) or known.shapes.get(shape)
             if kind and (known.last_words.get(last, kind) != kind or (before, shape) in known.against or (last, shape) in known.against):

@@ -54,7 +54,8 @@ def test_similarity_counts_repeated_words():
     assert neardup.similarity("", "...") == 0.0
 
 
-KNOWN = pii.Knowledge(given={"lena", "hugo"}, family={"umbsgaard", "pellarro"}, words={"the", "phone", "street"}, streets=({"fenholt"}, {"main"}), patterns={"my cell": "phone"}, last_words={"ssn": "id_number"}, shapes={"999999999": "id_number"})
+FORMS = {("email", f) for f in ("veiled", "spoken", "shouted", "worded")} | {("phone", f) for f in ("area", "ten", "mobile", "zero")} | {("street_address", f) for f in ("short", "lower", "number last", "led")}
+KNOWN = pii.Knowledge(forms=FORMS, given={"lena", "hugo"}, family={"umbsgaard", "pellarro"}, words={"the", "phone", "street"}, streets=({"fenholt"}, {"main"}), patterns={"my cell": "phone"}, last_words={"ssn": "id_number"}, shapes={"999999999": "id_number"})
 
 
 @pytest.mark.parametrize(
@@ -90,14 +91,14 @@ def test_names_and_patterns_are_learned_from_the_corpus(spark):
     families = ["Umbsgaard", "Pellarro", "Draxwyn", "Karlfield", "Hestmira"]
     rows = [f"mail lena_{f.lower()}@harrowby.test or hugo.{f.lower()}@oak.example" for f in families[:3]]
     rows += [f"Thanks to {g} {f} for it" for g in ("Lena", "Hugo", "Oriel") for f in families]
-    rows += [f"reach me on the cell 212-555-01{i:02d} now" for i in range(12)] + ["reach me on the cell 2125550142", "reach me on the cell 2125550143", "reach me on the cell 2125550144", "the job 2125550199", None, ""]
+    rows += [f"reach me on the cell +49 212 5551{i:02d} now" for i in range(12)] + ["reach me on the cell 2125550142", "reach me on the cell 2125550143", "reach me on the cell 2125550144", "the job 2125550199", None, ""]
     known = pii.learn(spark.createDataFrame([(r, 1) for r in rows], "text string, extra int"))
     assert {"lena", "hugo", "oriel"} <= known.given and {f.lower() for f in families} <= known.family
     assert [k for _, _, k in pii.find("reach me on the cell 2125550142, ORIEL HESTMIRA", known)] == ["phone", "person_name"]
 
 
 def test_instances_found_confirm_patterns_without_seeds(spark):
-    rows = [f"reach me on the cell 212-555-01{i:02d} now" for i in range(12)]
+    rows = [f"reach me on the cell +49 212 5551{i:02d} now" for i in range(12)]
     rows += [f"reach me on the cell 21255501{i}" for i in range(42, 46)]
     rows += [f"my handset ring 21255501{i} please" for i in range(42, 46)] + ["my handset ring 21 255 50 777 please"]
     rows += [f"take job {i}125550199 off" for i in range(2, 8)] + ["again 2125550143"]
@@ -108,6 +109,33 @@ def test_instances_found_confirm_patterns_without_seeds(spark):
     assert kinds("take job 3125550199 off") == []
 
 
+def test_forms_are_hypotheses_that_the_corpus_confirms(spark):
+    rows = [f"please write to ann.b{i}@harrowby.test now" for i in range(5)] + [f"please write to bob{i} (at) oak dot example now" for i in range(4)]
+    rows += [f"reach me on the cell +49 30 2312{i}65 now" for i in range(5)] + [f"reach me on the cell 0{i}30/231256 now" for i in range(2, 6)]
+    rows += [f"see part (21{i}) 555-0198 here" for i in range(9)] + [f"we moved to {i} Umber Avenue" for i in range(3, 8)] + [f"we moved to {i} Fen Rd" for i in range(3, 8)]
+    known = pii.learn(spark.createDataFrame([(r,) for r in rows], "text string"))
+    assert known.forms == {("email", "veiled"), ("phone", "zero"), ("street_address", "short")}
+    kinds = lambda text, k: [x for _, _, x in pii.find(text, k)]
+    for text, kind in (("Zoe (at) elm dot example", "email"), ("hm, 0841/123456", "phone"), ("up 9 Oak Rd", "street_address")):
+        assert kinds(text, known) == [kind] and kinds(text, pii.Knowledge()) == []
+    assert kinds("odd (212) 555-0198", known) == []
+
+
+def test_what_is_found_rests_on_what_was_learned(spark):
+    from siftspark.llm import queries
+
+    fields = queries._post_fields(spark, "/root/testdata/sf0.01")
+    count = lambda known: sum(len(r["kinds"]) for r in pii.masked_texts(fields, known).filter("size(kinds) > 0").collect())
+    assert count(pii.Knowledge()) <= 0.6 * count(pii.learn(fields))
+
+
+def test_long_mailboxes_and_streets_are_found_whole():
+    local, domain = "a" * 300, ".".join(["d" * 60] * 6)
+    text = f"x {local}@{domain}.test and {local} [at] {domain} [dot] test, {'G' * 90}straße 40"
+    assert [text[a:b] for a, b, _ in pii.find(text, KNOWN)] == [f"{local}@{domain}.test", f"{local} [at] {domain} [dot] test", f"{'G' * 90}straße 40"]
+    assert pii.find("@ " * 30_000 + "a@" * 20_000, KNOWN) == []
+
+
 def test_masked_texts_keep_nulls(spark):
     df = spark.createDataFrame([("1", "title", None, "x"), ("2", "body", "", "x"), ("3", "body", "see a.b@c.test", "x")], "id string, field string, text string, masked string")
     got = {r["id"]: (r["kinds"], r["masked"]) for r in pii.masked_texts(df, KNOWN).collect()}
@@ -118,7 +146,7 @@ def test_all_names_are_looked_up_however_many_there_are(spark, monkeypatch):
     families = ["Umbsgaard", "Pellarro", "Draxwyn", "Karlfield", "Zestmira"]
     texts = [f"mail lena_{f.lower()}@harrowby.test or hugo.{f.lower()}@oak.example" for f in families[:3]]
     texts += [f"Thanks to {g} {f} for it" for g in ("Lena", "Hugo", "Zoriel") for f in families] + ["ZORIEL ZESTMIRA", "9 Main Street", "", None]
-    texts += [f"reach me on the cell 212-555-01{i:02d} now" for i in range(12)] + [f"reach me on the cell 212555014{i}" for i in range(4)]
+    texts += [f"reach me on the cell +49 212 5551{i:02d} now" for i in range(12)] + [f"reach me on the cell 212555014{i}" for i in range(4)]
     df = spark.createDataFrame([(str(i), "body", t) for i, t in enumerate(texts)], "id string, field string, text string")
     results = []
     for most in (10**6, 2):
