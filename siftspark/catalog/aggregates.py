@@ -187,30 +187,11 @@ def g35(t):
     return t.clusters.join(o, "id").select("cluster_name", "cluster_size", "n")
 
 
-@query("g36_quality_buckets", "SELECT b AS bucket, min(pain_score) AS low, count(*) AS n FROM (SELECT pain_score, CASE WHEN pain_score >= 0.7 THEN 'high' WHEN pain_score >= 0.4 THEN 'medium' ELSE 'low' END AS b FROM filtered_now WHERE pain_score BETWEEN 0 AND 1) GROUP BY 1")
-def g36(t):
-    s = F.col("pain_score")
-    f = t.filtered("pain_score").filter(s.between(0, 1))
-    return f.groupBy(F.when(s >= 0.7, "high").when(s >= 0.4, "medium").otherwise("low").alias("bucket")).agg(F.min("pain_score").alias("low"), _n().alias("n"))
-
-
-@query("g37_duplicate_group_count", "SELECT count(*) AS n FROM (SELECT cluster_id FROM opportunities GROUP BY 1 HAVING count(*) > 1)", now=False)
-def g37(t):
-    return t.opportunities.groupBy("cluster_id").agg(_n().alias("k")).filter("k > 1").agg(_n().alias("n"))
-
-
 @query("g38_distinct_against_count", "SELECT count(*) AS n, count(DISTINCT source_id) AS sources FROM pain_events", now=False)
 def g38(t):
     return t.raw("pain_events", "source_id").agg(_n().alias("n"), F.countDistinct("source_id").alias("sources"))
 
 
-@query("g39_stage_rates", "SELECT round(count(*) FILTER (WHERE cluster_id IS NOT NULL) / greatest(count(*), 1), 6) AS clustering_rate, round(count(*) FILTER (WHERE extraction_confidence >= 0.5) / greatest(count(*), 1), 6) AS sure_rate FROM events_now")
-def g39(t):
-    n = F.greatest(_n(), F.lit(1))
-    e = t.events("cluster_id", "extraction_confidence")
-    return e.agg(F.round(F.count_if(F.col("cluster_id").isNotNull()) / n, 6).alias("clustering_rate"), F.round(F.count_if(F.col("extraction_confidence") >= 0.5) / n, 6).alias("sure_rate"))
-
-
 @query("g41_null_as_default_count", "SELECT count(*) AS n FROM events_now WHERE coalesce(source_type, 'post') = 'post'")
 def g41(t):
     return t.events("source_type").agg(F.count_if(F.coalesce("source_type", F.lit("post")) == "post").alias("n"))
@@ -228,19 +209,6 @@ def s02(t):
     return one(t.posts(), "posts").unionByName(one(t.filtered(), "filtered")).unionByName(one(t.events(), "events"))
 
 
-@query("s03_sorted_id_union", "SELECT post_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT DISTINCT post_id, id FROM pain_events WHERE post_id IS NOT NULL) GROUP BY 1", now=False)
-def s03(t):
-    e = t.raw("pain_events", "post_id", "id").filter("post_id IS NOT NULL")
-    return e.groupBy("post_id").agg(F.array_join(F.sort_array(F.collect_set("id")).cast("array<string>"), ",").alias("ids"))
-
-
-@query("s05_equal_sets", "SELECT a.post_id AS a, b.post_id AS b FROM (SELECT post_id, list_sort(list(DISTINCT mentioned_tools)) AS s FROM pain_events WHERE post_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT mentioned_tools) >= 3) a JOIN (SELECT post_id, list_sort(list(DISTINCT mentioned_tools)) AS s FROM pain_events WHERE post_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT mentioned_tools) >= 3) b ON a.s = b.s AND a.post_id < b.post_id", now=False)
-def s05(t):
-    e = t.raw("pain_events", "post_id", "mentioned_tools").filter("post_id IS NOT NULL")
-    s = e.groupBy("post_id").agg(F.sort_array(F.collect_set("mentioned_tools")).alias("s")).filter(F.size("s") >= 3)
-    return s.select(F.col("post_id").alias("a"), "s").join(s.select(F.col("post_id").alias("b"), "s"), "s").filter("a < b").select("a", "b")
-
-
 @query("s06_virtual_rows", "SELECT id, cluster_size AS size, 'cluster' AS kind FROM clusters UNION ALL SELECT cluster_id, CAST(count(*) AS INT), 'virtual' FROM events_now WHERE cluster_id IS NOT NULL GROUP BY cluster_id")
 def s06(t):
     real = t.clusters.select("id", F.col("cluster_size").alias("size"), F.lit("cluster").alias("kind"))

@@ -56,13 +56,6 @@ def w10(t):
     return t.posts().select("id").orderBy(F.md5("id"), "id").limit(10)
 
 
-@query("s04_append_if_absent", "SELECT id FROM clusters UNION SELECT cluster_id FROM opportunities WHERE cluster_id IS NOT NULL", now=False)
-def s04(t):
-    have = t.clusters.select("id")
-    new = t.opportunities.select(F.col("cluster_id").alias("id")).filter("id IS NOT NULL").distinct()
-    return have.unionByName(new.join(have, "id", "left_anti")).distinct()
-
-
 @query("snk03_append_with_ids", "SELECT id AS event_id, (SELECT max(id) FROM pain_events) + row_number() OVER (ORDER BY id) AS new_id FROM events_now WHERE cluster_id IS NULL")
 def snk03(t):
     last = t.raw("pain_events", "id").agg(F.max("id")).head()[0] or 0
@@ -70,13 +63,6 @@ def snk03(t):
     return with_next_ids(rows, ["event_id"], "new_id", last)
 
 
-@query("snk09_versioned_update", "SELECT o.id, coalesce(n.score, o.total_score) AS total_score, CASE WHEN n.id IS NULL THEN 1 ELSE 2 END AS version FROM opportunities o LEFT JOIN (SELECT id, raw_total_score AS score FROM opportunities WHERE raw_total_score >= 5) n ON n.id = o.id", now=False)
-def snk09(t):
-    new = t.opportunities.filter("raw_total_score >= 5").select("id", F.col("raw_total_score").alias("score"))
-    both = t.opportunities.withColumn("version", F.lit(1)).join(new, "id", "left")
-    return both.select("id", F.coalesce("score", "total_score").alias("total_score"), (F.col("version") + F.col("score").isNotNull().cast("int")).alias("version"))
-
-
 @query("j19_name_containment", "SELECT o.id, c.id AS cluster FROM opportunities o JOIN clusters c ON c.id = o.cluster_id WHERE trim(coalesce(c.cluster_name, '')) <> '' AND contains(lower(o.description), lower(trim(regexp_extract(c.cluster_name, '[^ ]+$'))))", now=False)
 def j19(t):
     c = t.clusters.filter("trim(coalesce(cluster_name, '')) <> ''").select(F.col("id").alias("cluster"), F.lower(F.trim(F.regexp_extract("cluster_name", "[^ ]+$", 0))).alias("last"))
@@ -91,12 +77,6 @@ def x32(t):
     return t.posts("title").filter("title IS NOT NULL").select("id", kind.alias("kind"))
 
 
-@query("x33_tool_flags", "SELECT id, concat_ws(',', CASE WHEN contains(lower(description), 'inbox') THEN 'email' END, CASE WHEN contains(lower(description), 'chat') THEN 'chat' END) AS flags FROM opportunities", now=False)
-def x33(t):
-    low = F.lower("description")
-    return t.opportunities.select("id", F.concat_ws(",", F.when(low.contains("inbox"), "email"), F.when(low.contains("chat"), "chat")).alias("flags"))
-
-
 _ETEXT = "concat_ws(' | ', nullif(problem, ''), nullif(context, ''))"
 
 
@@ -153,13 +133,6 @@ def u02(t):
     return e.join(p, "post_id").withColumn("kinds", X.labels(F.lower("problem"), L.PAIN_TYPES))
 
 
-@query("m12_status_update", "SELECT id, CASE WHEN lower(trim(cluster_name)) IN ('cluster_1', 'cluster_3') THEN 'processed' ELSE alignment_status END AS status FROM clusters", now=False)
-def m12(t):
-    updates = t.spark.createDataFrame([("cluster_1", "processed"), ("cluster_3", "processed")], "k string, status string")
-    c = t.clusters.withColumn("k", F.lower(F.trim("cluster_name"))).join(F.broadcast(updates), "k", "left")
-    return c.select("id", F.coalesce("status", "alignment_status").alias("status"))
-
-
 @query("m13_rollback", "SELECT id, cluster_name FROM clusters", now=False)
 def m13(t):
     return t.raw("clusters").withColumn("added", F.lit(1)).drop("added").select("id", "cluster_name")

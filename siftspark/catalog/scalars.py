@@ -56,15 +56,6 @@ def x08(t):
     return t.events("frequency").select("id", X.coarse_frequency(F.col("frequency")).alias("score"))
 
 
-_RIVALS = values([(c, k) for c, ks in L.COMPETITORS.items() for k in ks], "k(cat, kw)")
-
-
-@query("x11_competitors", f"SELECT o.id, count(k.kw) AS rivals FROM opportunities o LEFT JOIN {_RIVALS} ON contains(lower(coalesce(o.opportunity_name, '') || ' ' || coalesce(o.description, '') || ' ' || coalesce(o.target_users, '')), k.kw) GROUP BY 1", now=False)
-def x11(t):
-    text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("opportunity_name", "description", "target_users")]))
-    return t.opportunities.select("id", F.size(X.held(text, [k for ks in L.COMPETITORS.values() for k in ks])).cast("long").alias("rivals"))
-
-
 @query("x19_log_scale", "SELECT id, round(log10(greatest(coalesce(cluster_size, 0), 1)) * 2.5, 6) AS s FROM clusters", now=False)
 def x19(t):
     return t.clusters.select("id", F.round(F.log10(F.greatest(F.coalesce("cluster_size", F.lit(0)), F.lit(1))) * 2.5, 6).alias("s"))
@@ -124,15 +115,3 @@ def x09(t):
     e = t.events("cluster_id", "post_id").filter("cluster_id IS NOT NULL").join(f, "post_id")
     size = F.least(F.countDistinct("author") / 10, F.lit(5.0)) + F.least(1.5 * F.countDistinct("subreddit"), F.lit(5.0))
     return e.groupBy("cluster_id").agg(F.round(F.least(size, F.lit(10.0)) + 1e-9, 6).alias("score"))
-
-
-@query("x25_json_repair", "SELECT id, json_valid(platform_data) AS valid FROM posts_now WHERE platform_data IS NOT NULL")
-def x25(t):
-    return t.posts("platform_data").filter("platform_data IS NOT NULL").select("id", F.try_parse_json("platform_data").isNotNull().alias("valid"))
-
-
-@query("x31_workaround_sentence", "SELECT id, trim(list_filter(string_split(context, '.'), lambda s: contains(lower(s), 'workaround'))[1]) AS sentence FROM events_now WHERE contains(lower(context), 'workaround')")
-def x31(t):
-    e = t.events("context").filter(F.lower("context").contains("workaround"))
-    first = F.filter(F.split("context", r"\."), lambda s: F.lower(s).contains("workaround"))
-    return e.select("id", F.trim(F.try_element_at(first, F.lit(1))).alias("sentence"))

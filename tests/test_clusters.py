@@ -90,3 +90,13 @@ def test_search_by_broadcast_and_by_grid(spark, block):
     for q in range(0, 80, 3):
         good = [i for i in range(80) if i != q and (u @ u[q]).round(12)[i] >= 0.5]
         assert first.get(q) == (max(good) if good else None)
+
+
+def test_a_status_update_without_a_match_raises(spark):
+    from siftspark.catalog.rest import updated_status
+
+    df = spark.createDataFrame([(1, "a", None), (2, None, "x")], "id int, cluster_name string, alignment_status string")
+    new = spark.createDataFrame([("a", "done")], "cluster_name string, new string")
+    assert {r["id"]: r["alignment_status"] for r in updated_status(df, new).collect()} == {1: "done", 2: "x"}
+    with pytest.raises(ValueError, match="no cluster is named b"):
+        updated_status(df, spark.createDataFrame([("b", "done")], "cluster_name string, new string"))
