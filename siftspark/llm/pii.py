@@ -123,6 +123,7 @@ def _key(instance: str) -> str:
 
 def _streets(text: str):
     """(start, end, name, form) of street addresses with a house number in front or behind; lower-cased name, with a dot if the text has it in lower case."""
+    led = _LEADS.search(text)
     for h in _HOUSE.finditer(text):
         a = h.start()
         m = _NUMBERED.match(text, a)
@@ -137,7 +138,7 @@ def _streets(text: str):
         end = text[max(0, a - 8) : a].rstrip().lower()
         front = _NUMBER_LAST.search(text[_back(text, a, 2) : a]) if end.endswith(_STREET_ENDS) else None
         form = "number last"
-        if front is None and a and text[a - 1].isspace() and _LEADS.search(text, begin := _back(text, a, 8), a):
+        if front is None and led and led.end() < a and text[a - 1].isspace() and _LEADS.search(text, begin := _back(text, a, 8), a):
             front, form = _LED.search(text[begin:a]), "led"
         elif front and not (front[0][0].isupper() or "str" in front[0].lower()):
             front = None
@@ -184,7 +185,7 @@ def _spans(text: str, streets=None):
         a, b = max(0, d.start() - 12), d.end() + 24
         for forms, kind in ((_ID, "id_number"), (_PHONE, "phone")):
             for m in forms.finditer(text, a, min(len(text), b)):
-                add(m.start(), m.end(), kind, next(n for n, v in m.groupdict().items() if v is not None and n != "gap"))
+                add(m.start(), m.end(), kind, m.lastgroup if m.lastgroup != "gap" else next(n for n, v in m.groupdict().items() if v is not None))
     return taken
 
 

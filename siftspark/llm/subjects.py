@@ -29,7 +29,9 @@ LEVELS = 8  #: of splits, with one pass over the vectors each
 TELLING = 25  #: discriminative terms that label a leaf
 KNOWN = 3  #: labelled texts from which they alone say whether a term is topical
 TOPICAL = 0.5  #: information of a term on the subject, in nats, or further occurrences inside documents, from which it is a dimension
+CLEAR = 0.2  #: mean information of a leaf's telling terms on subjects, from which it points to them in full
 FEW = 2.0  #: documents that the corpus as a whole counts for in a term's mixture of leaves
+BEYOND = 0.3  #: of a term's documents that have to be more than chance gives its leaves
 SURE = 0.8  #: share of a term's mixture from which it speaks for a subject
 MENTIONS, SHARE = 2, 0.25  #: a subject needs so many mentions and such a share of all mentions
 MOST = 2  #: subjects of a document, those with most mentions: a text is about one area, two or none
@@ -394,23 +396,23 @@ def speakers(sparse: DataFrame, tree: Tree, known: Labelled, flat: np.ndarray, g
     lift = (F.col("n") / F.col("docs")) * F.log(F.col("n") * F.lit(float(total)) / (F.col("docs") * F.col("all")))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("lift"), "t"))
     telling = rows.filter("n >= 3").withColumn("lift", lift).filter("lift > 0").withColumn("r", best).filter(F.col("r") <= TELLING).select("node", "t", "lift").collect()
-    subject = {n: np.zeros(k) for n in docs_in}
+    subject, weight = {n: np.zeros(k) for n in docs_in}, dict.fromkeys(docs_in, 0.0)
     for r in telling:
         subject[r["node"]] += r["lift"] * gain[r["t"]] * (flat[r["t"]] - known.prior).clip(0)
-    # a leaf without a telling term of any subject points nowhere
-    subject = {n: v**2 / (v**2).sum() for n, v in subject.items() if v.sum() > 0}
-    if not subject:
-        return says, share
+        weight[r["node"]] += r["lift"]
+    # a leaf whose telling terms say little of any subject points to none, as far as they do
+    subject = {n: v**2 / max((v**2).sum(), 1e-12) * min(1.0, v.sum() / max(weight[n], 1e-12) / CLEAR) for n, v in subject.items()}
     of = spark.createDataFrame([(n, v.tolist()) for n, v in subject.items()], "node long, subject array<double>")
     # documents beyond those that chance would give the leaf, times how far they are beyond
     chance = F.col("docs") * F.col("all") / F.lit(float(total))
     points = rows.withColumn("x", (F.col("n") - chance) * F.log(F.col("n") / chance)).filter(F.col("n") > chance).join(F.broadcast(of), "node")
-    mixed = points.groupBy("t").agg(*[F.sum(F.col("x") * F.col("subject")[i]).alias(f"s{i}") for i in range(k)]).toArrow()
+    mixed = points.groupBy("t").agg(F.sum("x").alias("x"), (F.sum(F.col("n") - chance) / F.max("all")).alias("beyond"), *[F.sum(F.col("x") * F.col("subject")[i]).alias(f"s{i}") for i in range(k)]).toArrow()
     mix = np.stack([np.asarray(mixed.column(f"s{i}")) for i in range(k)], axis=1).reshape(-1, k)
     base = sum(docs_in[n] * v for n, v in subject.items()) / sum(docs_in[n] for n in subject)
-    mix = (mix + FEW * base) / (mix.sum(axis=1, keepdims=True) + FEW)
+    mix = (mix + FEW * base) / (np.asarray(mixed.column("x"))[:, None] + FEW)
     t = np.asarray(mixed.column("t"))
-    says[t], share[t] = mix.argmax(axis=1), mix.max(axis=1)
+    # a word of all texts is a little more frequent somewhere, too: that says nothing
+    says[t], share[t] = mix.argmax(axis=1), np.where(np.asarray(mixed.column("beyond")) >= BEYOND, mix.max(axis=1), 0)
     return says, share
 
 

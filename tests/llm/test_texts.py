@@ -125,8 +125,9 @@ def test_what_is_found_rests_on_what_was_learned(spark):
     from siftspark.llm import queries
 
     fields = queries._post_fields(spark, "/root/testdata/sf0.01")
-    count = lambda known: sum(len(r["kinds"]) for r in pii.masked_texts(fields, known).filter("size(kinds) > 0").collect())
-    assert count(pii.Knowledge()) <= 0.6 * count(pii.learn(fields))
+    found = lambda known: {(r["id"], r["field"], k) for r in pii.masked_texts(fields, known).filter("size(kinds) > 0").collect() for k in r["kinds"]}
+    learned = found(pii.learn(fields))
+    assert len(learned & found(pii.Knowledge())) <= 0.7 * len(learned)
 
 
 def test_long_mailboxes_and_streets_are_found_whole():
