@@ -80,6 +80,7 @@ _UNIT_BEFORE = re.compile(rf"{_UNIT},? $")
 #: A street's name up to its number, where the number follows.
 _NUMBER_LAST = re.compile(r"(?<![\w-])[^\W\d_][\w-]*?(?:er )?(?:str\.|straße|strasse|weg|allee|platz|gasse)\s*$", re.I)
 _LED = re.compile(r"(?<![\w-])(?:calle|avenida|avda\.?|plaza|paseo|camino|rue|via)\s+(?:(?:de|del|la|las|los|el|du|des)\s+)*[^\W\d_][\w-]*(?:\s+[A-ZÁÉÍÓÚÑ][\w-]*)?,?\s*$", re.I)
+_LEADING = ("calle", "avenida", "avda", "plaza", "paseo", "camino", "rue", "via")
 _LEADS = re.compile(r"\b(?:calle|avenida|avda|plaza|paseo|camino|rue|via)\b", re.I)
 _AFTER_NUMBER = re.compile(r"\d{1,4}(?: ?[a-z]\b)?(?:,\s{1,2}\d{1,2}º(?: ?[A-Z]\b)?)?(?:(?:,\s{1,2}|\s+in\s+)\d{5}\s+[A-Z][\w-]+)?")
 _STREET_ENDS = ("str.", "straße", "strasse", "weg", "allee", "platz", "gasse")
@@ -123,7 +124,8 @@ def _key(instance: str) -> str:
 
 def _streets(text: str):
     """(start, end, name, form) of street addresses with a house number in front or behind; lower-cased name, with a dot if the text has it in lower case."""
-    led = _LEADS.search(text)
+    low = text.lower()
+    led = _LEADS.search(text) if any(x in low for x in _LEADING) else None
     for h in _HOUSE.finditer(text):
         a = h.start()
         m = _NUMBERED.match(text, a)
@@ -170,17 +172,16 @@ def _spans(text: str, streets=None):
 
     last = -1
     low = text.lower()
-    for at in _AT.finditer(text) if "@" in low or " AT " in text or "dot" in low or any(x in low for x in _BRACKETED) or _PLAIN_AT.search(low) else ():
+    for at in _AT.finditer(text) if "@" in low or " AT " in text or "dot" in low or any(x in low for x in _BRACKETED) or (" at " in low and _PLAIN_AT.search(low)) else ():
         if at[0][0].isspace() and not at[0].isupper() and not _DOT_AFTER.match(text, at.end()) and not re.search(r"\w[._+]\w", text[_back(text, at.start(), 1) : at.start()]):
             continue
         m = _mailbox(text, at, last)
         if m:
             add(m.start(), m.end(), "email", m.lastgroup)
             last = m.end()
-    if _HOUSE.search(text):
-        for a, b, name, form in _streets(text):
-            if streets is None or not name or (name[1:] in streets[0] if name[0] == "." else name not in streets[1]):
-                add(a, b, "street_address", form)
+    for a, b, name, form in _streets(text):
+        if streets is None or not name or (name[1:] in streets[0] if name[0] == "." else name not in streets[1]):
+            add(a, b, "street_address", form)
     for d in _MANY_DIGITS.finditer(text):
         a, b = max(0, d.start() - 12), d.end() + 24
         for forms, kind in ((_ID, "id_number"), (_PHONE, "phone")):
