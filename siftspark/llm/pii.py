@@ -176,6 +176,7 @@ def _spans(text: str, streets=None):
         if at[0][0].isspace() and not at[0].isupper() and not _DOT_AFTER.match(text, at.end()) and not re.search(r"\w[._+]\w", text[_back(text, at.start(), 1) : at.start()]):
             continue
         m = _mailbox(text, at, last)
+        last = at.end()  # a mailbox holds one at-sign, so none begins before an earlier one
         if m:
             add(m.start(), m.end(), "email", m.lastgroup)
             last = m.end()
