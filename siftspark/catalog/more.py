@@ -10,7 +10,6 @@ from siftspark.functions import model as M
 from siftspark.functions import text as X
 from siftspark.operators import vector as V
 from siftspark.operators.sinks import with_next_ids
-from siftspark.operators.skew import join_by_load
 
 
 def _n():
@@ -107,15 +106,10 @@ def v04(t):
 
 @query("v04_query_similarity", f"WITH {_V}, c AS (SELECT e.cluster_id, v.id, v.v FROM v JOIN events_now e ON e.id = v.id WHERE e.cluster_id IS NOT NULL) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM c a JOIN c b ON a.cluster_id = b.cluster_id AND a.id <> b.id WHERE a.id % 20 = 0")
 def v04_query(t):
-    """Cosines of every event of the query set (ids divisible by 20) with all other members of its cluster; members of large clusters are compared in shards."""
-    e = t.events("cluster_id").filter("cluster_id IS NOT NULL").select("id", F.col("cluster_id").cast("string").alias("cluster_id"))
+    """Cosines of every event of the query set (ids divisible by 20) with all other members of its cluster, by matrix products; large clusters are cut into parts."""
+    e = t.events("cluster_id").filter("cluster_id IS NOT NULL").select("id", "cluster_id")
     rows = _vectors(t).filter(V.usable(F.col("v"), DIM)).join(e, "id")
-    members = rows.select("cluster_id", F.col("id").alias("b"), F.col("v").alias("u"))
-    queries = rows.filter("id % 20 = 0").select("cluster_id", F.col("id").alias("a"), "v")
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v, u = F.col("v"), F.col("u")
-    pairs = join_by_load(members, queries, "cluster_id", "b").filter("a <> b")
-    return pairs.select("a", "b", F.round(dot(v, u) / F.sqrt(dot(v, v) * dot(u, u)), 6).alias("cosine"))
+    return V.pairs_in_groups(rows.withColumn("asks", F.col("id") % 20 == 0), "cluster_id", DIM)
 
 
 @query("u01_extract_events", None)

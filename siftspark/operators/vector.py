@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -131,6 +134,90 @@ def first_similar(queries: DataFrame, rows: DataFrame, dim: int, floor: float, b
     return best.select("query", "m.id", "m.cosine")
 
 
+PAIRS = 200_000  #: pairs that a batch of results holds, about
+
+
+def _placed(rows: DataFrame, group: str, tasks: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(queries, members) with ``__task`` and the part of the group: heavy groups are cut into parts of members and of queries, which all meet.
+
+    A group is heavy from a quarter of a task's fair share of pairs on; only those reach the driver. Parts go to the least loaded task, largest first.
+    """
+    load = cut(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).filter("q > 0"))
+    pairs = F.col("n").cast("double") * F.col("q")
+    unit = max(1.0, (load.agg(F.sum(pairs)).head()[0] or 0) / tasks / 4)
+    heavy = load.filter((pairs > unit) | (F.col("q") > block)).orderBy(F.desc("n"), group).collect()
+    free, spots = [(0.0, t) for t in range(tasks)], []
+    for r in heavy:
+        y = -(-r["q"] // block)
+        x = max(1, min(tasks, math.ceil(r["n"] * r["q"] / unit / y)))
+        for i in range(x):
+            for j in range(y):
+                used, t = heapq.heappop(free)
+                spots.append((r[group], x, y, i, j, t))
+                heapq.heappush(free, (used + r["n"] * r["q"] / x / y, t))
+    kind = rows.schema[group].dataType.simpleString()
+    spot = F.broadcast(rows.sparkSession.createDataFrame(spots, f"__g {kind}, __x int, __y int, __i int, __j int, __t int"))
+    light = F.pmod(F.xxhash64(group), F.lit(tasks)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    whole = rows.join(load.select(F.col(group).alias("__g")), F.col(group) == F.col("__g"), "left_semi")
+    put = lambda df, on: df.join(spot, (F.col(group) == F.col("__g")) & on, "left").select(F.coalesce("__t", light).alias("__task"), F.col(group).alias("__group"), F.coalesce("__i", F.lit(0)).alias("__i"), F.coalesce("__j", F.lit(0)).alias("__j"), "id", "v")
+    return put(whole.filter("asks"), part("__y") == F.col("__j")), put(whole, part("__x") == F.col("__i"))
+
+
+def pairs_in_groups(rows: DataFrame, group: str, dim: int, tasks: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, cosine): every row of ``rows`` (group, id, v, asks) that asks with all other rows of its group; cosines in double, rounded to 6 digits, halves away from 0.
+
+    ``v`` must be ``usable``; null groups take no part. Queries of a part come first in its task, at most ``block`` or so of them are held, and the members stream past.
+    """
+    tasks = tasks or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = cut(rows.filter(F.col(group).isNotNull()).select(group, "id", "v", "asks"))
+    queries, members = _placed(rows, group, tasks, block)
+    both = queries.withColumn("__side", F.lit(0)).unionByName(members.withColumn("__side", F.lit(1)))
+    key = ["__group", "__i", "__j"]
+    both = both.repartitionById(tasks, F.col("__task")).sortWithinPartitions(*key, "__side").select(*key, "__side", "id", "v")
+
+    def meet(batches):
+        now, asked, units, q, small, held = None, [], [], None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            edges = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            ids, x = np.asarray(batch.column(4)), _unit(batch.column(5), dim)
+            for s, e in zip([0, *edges], [*edges, len(keys)]):
+                if keys[s][:3] != now:
+                    now, asked, units, q = keys[s][:3], [], [], None
+                if keys[s][3] == 0:
+                    asked.append(ids[s:e])
+                    units.append(x[s:e])
+                    continue
+                if not asked:
+                    continue
+                if q is None:
+                    q, qid = np.concatenate(units), np.concatenate(asked)
+                step = max(1, PAIRS // (e - s))
+                for i in range(0, len(qid), step):
+                    cos = (q[i : i + step] @ x[s:e].T).ravel()
+                    cos = np.copysign(np.floor(np.abs(cos) * 1e6 + 0.5) / 1e6, cos)
+                    a, b = np.repeat(qid[i : i + step], e - s), np.tile(ids[s:e], len(qid[i : i + step]))
+                    keep = a != b
+                    if not keep.all():
+                        a, b, cos = a[keep], b[keep], cos[keep]
+                    small.append((a, b, cos))
+                    held += len(a)
+                    if held >= PAIRS // 2:
+                        yield _rows(small)
+                        small, held = [], 0
+        if small:
+            yield _rows(small)
+
+    return both.mapInArrow(meet, "a long, b long, cosine double")
+
+
+def _rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["a", "b", "cosine"])
+
+
 def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, d, mean): the element-wise mean per group, one row a dimension; partial sums travel, not vectors."""
     return rows.select(group, F.posexplode(vector).alias("d", "x")).groupBy(group, "d").agg(F.avg("x").alias("mean"))

@@ -121,3 +121,18 @@ def test_exact_vector_search(spark):
         want |= {(q, int(i)) for i in sorted((i for i in range(60) if i != q), key=lambda i: (-c[i], i))[:3]}
     assert got == want
     assert vector.search(df.limit(0), df, 8, 3).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 20_000])
+def test_pairs_in_groups_are_whole_whatever_the_parts(spark, block):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 4)).astype(np.float32)
+    x[7] = 2 * x[20]
+    groups = [None if i % 50 == 9 else 1 if i < 300 else i % 40 for i in range(400)]
+    rows = spark.createDataFrame([(g, i, v.tolist(), i % 20 == 0) for i, (g, v) in enumerate(zip(groups, x))], "g long, id long, v array<float>, asks boolean")
+    got = {(r["a"], r["b"]): r["cosine"] for r in vector.pairs_in_groups(rows, "g", 4, tasks=5, block=block).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = {(a, b): u[a] @ u[b] for a in range(0, 400, 20) for b in range(400) if a != b and groups[a] is not None and groups[a] == groups[b]}
+    assert got.keys() == want.keys() and got[20, 7] == 1.0
+    assert all(abs(got[k] - c) < 6e-7 and got[k] == round(got[k], 6) for k, c in want.items())
+    assert not vector.pairs_in_groups(rows.limit(0), "g", 4).head(1)
