@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import combinations
 
@@ -87,11 +87,11 @@ def candidate_blocks(x: np.ndarray, h: Hashing, floor: float, queries: np.ndarra
     n = len(x)
     queries = np.arange(n) if queries is None else queries
     for t in range(h.tables):
-        keys = bucket_keys(x, t, h)
-        order = np.argsort(keys[:, 0], kind="stable")
-        held, start = np.unique(keys[order, 0], return_index=True)
+        own = bucket_keys(x, t, replace(h, probes=0))[:, 0]
+        order = np.argsort(own, kind="stable")
+        held, start = np.unique(own[order], return_index=True)
         end = np.append(start[1:], n)
-        visits = keys[queries]
+        visits = bucket_keys(x[queries], t, h)
         at = np.searchsorted(held, visits.ravel())
         at[at == len(held)] = 0
         hit = held[at] == visits.ravel()

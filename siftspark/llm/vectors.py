@@ -1,12 +1,13 @@
 """Similarity search over all vectors of a table: coarse p-stable cells over the cluster, fine hashing inside a cell.
 
 A coarse hash is the side of a vector along a 2-stable direction, from the median, so that cells hold even shares. A vector
-travels to its own cell and to every cell whose estimated success is high enough: the squared distances to the bounds that
-lead there add up to ``MARGIN`` squared at most. A pair is found if both visit some cell and, inside it, multiprobe hashing brings
+asks in its own cell, and visits every cell whose estimated success is high enough: the squared distances to the bounds that
+lead there add up to ``MARGIN`` squared at most. A pair is found if one of both visits the other's own cell and, inside it, multiprobe hashing brings
 them together. One rule holds at every size; the number of hashes follows the number of rows. Exact copies are folded to
 one representative (the smallest id) before anything is routed, so a group of copies never makes a
-bucket hot. Cells that stay too large (dense groups, which no hash splits) are compared in blocks: each pair of shards
-of such a cell meets in a block of its own, so no row is dropped and no further pair lost.
+bucket hot. Cells that stay too large (dense groups, which no hash splits) are compared in blocks: each shard of the own rows
+of such a cell meets each shard of its visitors in a block of its own, so no row is dropped and no further pair lost. Cells are
+taken in waves, each of which sends ``WAVE`` times the rows, so what lies on disk at once does not grow with the number of visits.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from siftspark.llm.hashing import Hashing, candidate_blocks, exact_cosines, projections
 from siftspark.operators.current import current_wide_rows
 from siftspark.plans.bounds import bounded
-from siftspark.plans.scratch import cut
+from siftspark.plans.scratch import cut, drop
 
-SHARE = 20_000  #: mean rows of a cell, without the visitors from neighbouring cells
-CELL_ROWS = 80_000  #: rows from which a cell is compared in blocks of shards; two shards of a block hold as many at most: 20 MB of vectors of 64 numbers
-MARGIN = 0.5  #: how far a vector looks across the bounds of its cell; in this unit two unit vectors of cosine c are sqrt(2 - 2c) * a standard normal number apart along a direction
+SHARE = 40_000  #: mean rows of a cell, without the visitors from neighbouring cells
+CELL_ROWS = 80_000  #: own rows from which a cell is compared in blocks of shards, as from twice as many with visitors: 61 MB of vectors of 64 numbers a block at most
+MARGIN = 0.7  #: how far a vector looks across the bounds of its cell; in this unit two unit vectors of cosine c are sqrt(2 - 2c) * a standard normal number apart along a direction
+WAVE = 2  #: rows sent at once for each row of the table
 SAMPLE = 20_000  #: vectors that the medians are taken from, about; every row is indexed
 _FOLD = 2_000_000  #: candidate pairs held in a task before they are reduced
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -95,15 +97,15 @@ def _unbinary(col, dim: int) -> np.ndarray:
 
 @dataclass
 class Routing:
-    """How vectors travel: directions of the coarse hashes (one in each row) and their bounds; shards of the cells that are too large; the task of every cell."""
+    """How vectors travel: directions of the coarse hashes (one in each row) and their bounds; shards (own rows, all rows) of the cells that are too large; the wave and task of every cell or block."""
 
     directions: np.ndarray
     middle: np.ndarray
-    shards: dict[int, int] = field(default_factory=dict)
-    tasks: dict[int, int] = field(default_factory=dict)
+    shards: dict[int, tuple[int, int]] = field(default_factory=dict)
+    tasks: dict[int, tuple[int, int]] = field(default_factory=dict)
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) pairs of unit vectors: the own cell, and all whose crossed bounds are within the margin together."""
+        """(row, cell) pairs of unit vectors: first the own cells of all, then all whose crossed bounds are within the margin together."""
         p = x @ self.directions.T - self.middle
         rows, cost = np.arange(len(x)), np.zeros(len(x), np.float32)
         cells = (p > 0) @ (np.int64(1) << np.arange(p.shape[1], dtype=np.int64))
@@ -113,20 +115,26 @@ class Routing:
             rows, cells, cost = np.concatenate([rows, rows[m]]), np.concatenate([cells, cells[m] ^ np.int64(1 << i)]), np.concatenate([cost, c[m]])
         return rows, cells
 
-    def blocks(self, rows: np.ndarray, cells: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, block) pairs: a cell as it is, or the blocks of pairs of shards that the row takes part in."""
+    def blocks(self, rows: np.ndarray, cells: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, block, asks) of visits: a cell as it is, or the blocks of pairs of shards that the row takes part in."""
+        own = np.arange(len(rows)) < len(ids)
         if not self.shards:
-            return rows, cells
+            return rows, cells, own
         m = np.isin(cells, np.fromiter(self.shards, np.int64))
-        out = [(rows[~m], cells[~m])]
-        for cell, g in self.shards.items():
-            r = rows[cells == cell]
+        out = [(rows[~m], cells[~m], own[~m])]
+        for cell in np.unique(cells[m]).tolist():
+            asking, among = self.shards[cell]
+            here = cells == cell
+            r, o = rows[here], own[here]
             with np.errstate(over="ignore"):
-                s = (ids[r].astype(np.uint64) * _K1 >> np.uint64(33)).astype(np.int64) % g
-            for j in range(g):
-                lo, hi = np.minimum(s, j), np.maximum(s, j)
-                out.append((r, block_number(cell, lo * g + hi)))
-        return np.concatenate([r for r, _ in out]), np.concatenate([c for _, c in out])
+                s = (ids[r].astype(np.uint64) * _K1 >> np.uint64(33)).astype(np.int64)
+            i, j = s % asking, s // asking % among
+            for k in range(among):
+                out.append((r[o], block_number(cell, i[o] * among + k), o[o]))
+            for k in range(asking):
+                rest = ~(o & (i == k))
+                out.append((r[rest], block_number(cell, k * among + j[rest]), np.zeros(rest.sum(), bool)))
+        return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def block_number(cell: int, pair):
@@ -153,10 +161,13 @@ def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
 
 @dataclass
 class Routed:
-    """``rows`` (task, cell, id, v) of the representatives, each cell in one task; ``copies`` (id, rep) of all exact copies, representatives too."""
+    """``vectors`` (id, v) of the representatives and how they travel, in how many waves and tasks; ``copies`` (id, rep) of all exact copies, representatives too."""
 
-    rows: DataFrame
+    vectors: DataFrame
     copies: DataFrame
+    routing: Routing
+    waves: int
+    tasks: int
 
 
 def route(vectors: DataFrame, dim: int, n: int, share: int = SHARE, cell_rows: int = CELL_ROWS, sample: DataFrame | None = None) -> Routed:
@@ -165,6 +176,7 @@ def route(vectors: DataFrame, dim: int, n: int, share: int = SHARE, cell_rows: i
     ``sample`` (v), for the bounds, is taken of the vectors if not given. Cells of more than ``cell_rows`` rows are taken apart into blocks.
     Cells and blocks are packed onto tasks by their rows, the largest first, so no two large ones share one by chance.
     """
+    vectors = cut(vectors)
     routing = fitted(sampled(vectors, "id", n) if sample is None else sample, dim, n, share)
 
     def keys(batches):
@@ -192,52 +204,75 @@ def route(vectors: DataFrame, dim: int, n: int, share: int = SHARE, cell_rows: i
     reps = lambda df: df.join(again, F.col("id") == F.col("__id"), "left_anti")
 
     # one row a cell: about n / share of them
-    sizes = {r["cell"]: r["n"] for r in reps(narrow).select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    routing.shards = {cell: math.ceil(2 * n_ / cell_rows) for cell, n_ in sizes.items() if n_ > cell_rows}
-    loads = {cell: n_ for cell, n_ in sizes.items() if cell not in routing.shards}
-    for cell, g in routing.shards.items():
-        for pair in ((i, j) for i in range(g) for j in range(i, g)):
-            loads[int(block_number(cell, pair[0] * g + pair[1]))] = 2 * sizes[cell] // g
-    spark = vectors.sparkSession
+    own = F.count_if(F.col("pos") == 0).alias("own")
+    sizes = {r["cell"]: (r["own"], r["n"]) for r in reps(narrow).select(F.posexplode("cells").alias("pos", "cell")).groupBy("cell").agg(own, F.count(F.lit(1)).alias("n")).filter("own > 0").collect()}
+    kept = cut(reps(vectors))
+    for old in (vectors, narrow):
+        drop(old)
+    sent: dict[int, float] = {}
+    loads: dict[int, float] = {}
+    for cell, (own_, n_) in sizes.items():
+        asking, among = math.ceil(own_ / cell_rows), math.ceil(n_ / (2 * cell_rows))
+        blocks = [cell]
+        if asking * among > 1:
+            routing.shards[cell] = asking, among
+            blocks = [int(block_number(cell, i)) for i in range(asking * among)]
+        for block in blocks:
+            sent[block] = n_ / among + own_ / asking * (len(blocks) > 1)
+            loads[block] = sent[block] + 4 * own_ / asking
+    spark = kept.sparkSession
+    waves = max(1, math.ceil(sum(sent.values()) / (WAVE * max(n, share))))
     most = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    free = [(0, t) for t in range(max(1, min(most, len(loads))))]
-    for cell in sorted(loads, key=lambda c: (-loads[c], c)):
-        used, t = heapq.heappop(free)
-        routing.tasks[cell] = t
-        heapq.heappush(free, (used + loads[cell], t))
-    return Routed(_sent(reps(vectors), routing, dim, len(free)), copies)
-
-
-def _sent(vectors: DataFrame, routing: Routing, dim: int, tasks: int) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(routing)
+    tasks = max(1, min(most, -(-len(loads) // waves)))
+    free = [(0, t, w) for t in range(tasks) for w in range(waves)]
+    for block in sorted(loads, key=lambda c: (-loads[c], c)):
+        used, t, w = heapq.heappop(free)
+        routing.tasks[block] = w, t
+        heapq.heappush(free, (used + loads[block], t, w))
+    return Routed(kept, copies, routing, waves, tasks)
+
+
+def _sent(vectors: DataFrame, routed: Routed, dim: int, wave: int) -> DataFrame:
+    """(task, cell, asks, id, v, ...) of the cells and blocks of a wave, with what else ``vectors`` has."""
+    routing = routed.routing
+    here = {c: t for c, (w, t) in routing.tasks.items() if w == wave}
+    shared = vectors.sparkSession.sparkContext.broadcast((routing.directions, routing.middle, routing.shards, here))
+    more = [f for f in vectors.schema.fields if f.name not in ("id", "v")]
 
     def send(batches):
-        r: Routing = shared.value
-        numbers = np.array(sorted(r.tasks), np.int64)
-        of = np.array([r.tasks[c] for c in numbers.tolist()], np.int32)
+        directions, middle, shards, tasks = shared.value
+        r = Routing(directions, middle, shards)
+        numbers = np.array(sorted(tasks), np.int64)
+        of = np.array([tasks[c] for c in numbers.tolist()], np.int32)
         for batch in batches:
             x = _unbinary(batch.column(1), dim)
-            if not len(x):
+            if not len(x) or not len(numbers):
                 continue
             ids = np.asarray(batch.column(0))
-            rows, cells = r.blocks(*r.visits(_units(x)), ids)
-            # a block that no size was counted for holds no rows; one that a row visits is always there
-            columns = [pa.array(of[np.searchsorted(numbers, cells)]), pa.array(cells), pa.array(ids[rows]), _binary(x[rows])]
-            yield pa.RecordBatch.from_arrays(columns, names=["task", "cell", "id", "v"])
+            rows, cells, asks = r.blocks(*r.visits(_units(x)), ids)
+            # cells without rows of their own, and those of other waves, are in no task
+            at = np.minimum(np.searchsorted(numbers, cells), len(numbers) - 1)
+            m = numbers[at] == cells
+            rows, cells, asks, at = rows[m], cells[m], asks[m], at[m]
+            for i in range(0, len(rows), 50_000):
+                k = slice(i, i + 50_000)
+                columns = [pa.array(of[at[k]]), pa.array(cells[k]), pa.array(asks[k]), pa.array(ids[rows[k]]), _binary(x[rows[k]]), *[batch.column(2 + j).take(pa.array(rows[k])) for j in range(len(more))]]
+                yield pa.RecordBatch.from_arrays(columns, names=["task", "cell", "asks", "id", "v", *[f.name for f in more]])
 
-    return vectors.mapInArrow(send, "task int, cell long, id long, v binary").repartitionById(tasks, F.col("task"))
+    schema = "task int, cell long, asks boolean, id long, v binary" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
+    return vectors.mapInArrow(send, schema).repartitionById(routed.tasks, F.col("task"))
 
 
 def fine_hashing(n: int, cell: int) -> Hashing:
-    """Inside a cell of n vectors: one hash more for twice the rows. Cells differ in their directions, so that a pair which shares several cells has as many chances."""
-    return Hashing(3, max(1, round(math.log2(max(1, n) / 400))), 1.5, 15, 7 + cell % 16)
+    """Inside a cell of n vectors: one hash more for twice the rows. Cells differ in their directions, so that a pair of which both visit the other's cell has two chances."""
+    return Hashing(4, max(1, round(math.log2(max(1, n) / 400))), 1.7, 15, 7 + cell % 16)
 
 
-def _pairs(x: np.ndarray, floor: float, reduce, cell: int) -> None:
-    """Feed ``reduce`` with codes ``a * n + b`` of found pairs, a != b, in portions of bounded size."""
+def _pairs(x: np.ndarray, floor: float, reduce, cell: int, asks: np.ndarray | None) -> None:
+    """Feed ``reduce`` with codes ``a * n + b`` of found pairs, a != b, in portions of bounded size; a is a row that asks."""
     n = len(x)
     held, count = [], 0
-    for a, b in candidate_blocks(x, fine_hashing(n, cell), np.float32(floor - 1e-5)):
+    for a, b in candidate_blocks(x, fine_hashing(n, cell), np.float32(floor - 1e-5), None if asks is None else np.flatnonzero(asks)):
         held.append(a * n + b)
         count += len(a)
         if count > _FOLD:
@@ -247,8 +282,8 @@ def _pairs(x: np.ndarray, floor: float, reduce, cell: int) -> None:
         reduce(np.unique(np.concatenate(held)))
 
 
-def top_in_cell(ids: np.ndarray, x: np.ndarray, k: int, floor: float, cell: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row the k best other rows (highest cosine, then smaller id) of at least ``floor``; ids must ascend."""
+def top_in_cell(ids: np.ndarray, x: np.ndarray, k: int, floor: float, cell: int = 0, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the k best other rows (highest cosine, then smaller id) of at least ``floor`` in pairs of which one asks (by default all do); ids must ascend."""
     n = len(x)
     norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
     best = [np.empty(0, np.int64), np.empty(0)]
@@ -265,7 +300,7 @@ def top_in_cell(ids: np.ndarray, x: np.ndarray, k: int, floor: float, cell: int
         keep = np.arange(len(a)) - first < k
         best[0], best[1] = codes[keep], cos[keep]
 
-    _pairs(_units(x), floor, reduce, cell)
+    _pairs(_units(x), floor, reduce, cell, asks)
     return ids[best[0] // n], ids[best[0] % n], best[1]
 
 
@@ -300,7 +335,7 @@ def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.n
     return np.concatenate(chosen) if chosen else np.empty(0, np.int64)
 
 
-def forest_in_cell(ids: np.ndarray, x: np.ndarray, floor: float, core: np.ndarray | None, cell: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forest_in_cell(ids: np.ndarray, x: np.ndarray, floor: float, core: np.ndarray | None, cell: int = 0, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximum spanning forest of the pairs of at least ``floor``; weight: cosine, or mutual reachability where ``core`` is given."""
     n = len(x)
     norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
@@ -317,21 +352,28 @@ def forest_in_cell(ids: np.ndarray, x: np.ndarray, floor: float, core: np.ndarra
         order = np.argsort(codes[e])
         kept[0], kept[1] = codes[e][order], w[e][order]
 
-    _pairs(_units(x), floor, reduce, cell)
+    _pairs(_units(x), floor, reduce, cell, asks)
     return ids[kept[0] // n], ids[kept[0] % n], kept[1]
 
 
-def _by_cell(rows: DataFrame, dim: int, work) -> DataFrame:
+def _by_cell(routed: Routed, vectors: DataFrame, dim: int, work) -> DataFrame:
+    """What ``work`` finds in all cells and blocks, wave by wave; the files of a wave are gone before the next begins."""
+
     def one(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("id"))
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((~np.asarray(table.column("asks")), ids))
         order = order[np.append(True, np.diff(ids[order]) > 0)]
         x = _unbinary(table.column("v"), dim)[order]
+        asks = np.asarray(table.column("asks"))[order]
         core = np.asarray(table.column("core"))[order] if "core" in table.column_names else None
-        a, b, w = work(ids[order], x, core, table.column("cell")[0].as_py())
+        a, b, w = work(ids[order], x, core, table.column("cell")[0].as_py(), asks)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "w": pa.array(w, pa.float64())})
 
-    return rows.groupBy("task", "cell").applyInArrow(one, "a long, b long, w double")
+    found = [cut(_sent(vectors, routed, dim, wave).groupBy("task", "cell").applyInArrow(one, "a long, b long, w double")) for wave in range(routed.waves)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def nearest(routed: Routed, dim: int, k: int, floor: float) -> DataFrame:
@@ -340,7 +382,7 @@ def nearest(routed: Routed, dim: int, k: int, floor: float) -> DataFrame:
     Copies of a vector count as others of cosine 1. Linear in the number of rows, however many
     copies there are: a class of copies is searched once, and its members get the class's list.
     """
-    found = _by_cell(routed.rows, dim, lambda ids, x, _, cell: top_in_cell(ids, x, k, floor, cell))
+    found = _by_cell(routed, routed.vectors, dim, lambda ids, x, _, cell, asks: top_in_cell(ids, x, k, floor, cell, asks))
     by = F.struct((-F.col("w")).alias("o"), "b")
     ranked = found.withColumn("r", F.dense_rank().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))).filter(F.col("r") <= k)
     best = ranked.groupBy("a", "b").agg(F.max("w").alias("w"))
@@ -365,5 +407,5 @@ def forest_edges(routed: Routed, dim: int, floor: float, core: DataFrame | None
     Each cell sends only its own spanning forest, for an edge outside it is in no overall one.
     ``core`` (id, core) turns the weight into mutual reachability.
     """
-    rows = routed.rows if core is None else routed.rows.join(core, "id")
-    return _by_cell(rows, dim, lambda ids, x, c, cell: forest_in_cell(ids, x, floor, c, cell)).dropDuplicates(["a", "b"])
+    vectors = routed.vectors if core is None else cut(routed.vectors.join(core, "id"))
+    return _by_cell(routed, vectors, dim, lambda ids, x, c, cell, asks: forest_in_cell(ids, x, floor, c, cell, asks)).dropDuplicates(["a", "b"])

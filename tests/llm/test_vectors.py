@@ -85,6 +85,18 @@ def test_nearest_across_cells_hot_cells_and_shards(spark):
     assert len(got & want) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("cell_rows", [150, 10**6])
+def test_no_wave_sends_more_than_its_share_however_many_visits_there_are(spark, cell_rows):
+    x = grouped(groups=100, lone=1200)
+    x[:600] = x[0] + 0.01 * np.random.default_rng(1).standard_normal((600, DIM))
+    r = routed(spark, frame(spark, x), len(x), share=150, cell_rows=cell_rows)
+    sent = [vectors._sent(r.vectors, r, DIM, wave).count() for wave in range(r.waves)]
+    assert sum(sent) > 1.5 * vectors.WAVE * len(x) and max(sent) <= 1.5 * vectors.WAVE * len(x)
+    got = {(p["a"], p["b"]) for p in vectors.nearest(r, DIM, 5, 0.85).collect()}
+    want = brute_nearest(x, 5, 0.85)
+    assert len(got & want) >= 0.98 * len(want)
+
+
 def test_empty(spark):
     r = routed(spark, frame(spark, grouped()).limit(0), 0)
     assert vectors.nearest(r, DIM, 5, 0.85).count() == 0
