@@ -44,6 +44,13 @@ def test_near_pairs_against_brute_force(spark):
     assert copies >= {f"c{i:03d}" for i in range(30)} | {"p0000"}
 
 
+def test_near_pairs_with_more_texts_than_are_broadcast(spark):
+    base = [[f"w{i}x{j}" for j in range(40)] for i in range(30)]
+    rows = [(f"a{i}", " ".join(b)) for i, b in enumerate(base)] + [(f"b{i}", " ".join(b[:38] + ["y", "z"])) for i, b in enumerate(base[:20])]
+    pairs, _ = neardup.near_pairs(spark.createDataFrame(rows, "id string, text string"), 0.7, 30, most_docs=5)
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == sorted((f"a{i}", f"b{i}") for i in range(20))
+
+
 def test_near_pairs_of_nothing(spark):
     pairs, classes = neardup.near_pairs(spark.createDataFrame([("a", None)], "id string, text string"), 0.7, 30)
     assert pairs.count() == 0 and classes.count() == 0

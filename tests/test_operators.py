@@ -136,3 +136,21 @@ def test_pairs_in_groups_are_whole_whatever_the_parts(spark, block):
     assert got.keys() == want.keys() and got[20, 7] == 1.0
     assert all(abs(got[k] - c) < 6e-7 and got[k] == round(got[k], 6) for k, c in want.items())
     assert not vector.pairs_in_groups(rows.limit(0), "g", 4).head(1)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    from siftspark.plans.scratch import cut
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    kept = cut(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    left = files() - before
+    assert not left and kept.count() == 7
+
+
+def test_many_repeated_keys_do_not_group_the_whole_table(spark):
+    rows = [(f"k{i}", day(1), f"v{i}", 1) for i in range(400)] + [(f"k{i}", day(2), "new", 1) for i in range(20)]
+    got = current_wide_rows(spark.createDataFrame(rows, ROWS), "id", "at", ["v"], bound=5)
+    assert sorted((r["id"], r["v"]) for r in got.collect()) == sorted((f"k{i}", "new" if i < 20 else f"v{i}") for i in range(400))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
