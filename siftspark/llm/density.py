@@ -202,7 +202,9 @@ def hierarchies(routed: Routed, dim: int, min_samples: int, floor: float, least:
     The mutual-reachability graph gives a spanning forest by distributed Borůvka, and each tree of it a condensed hierarchy,
     whole, in one task, whatever its size.
     """
-    edges = cut(reachability_edges(routed, dim, min_samples, floor))
+    found = reachability_edges(routed, dim, min_samples, floor)
+    edges = cut(found)
+    drop(found)
     tree, labels = spanning_tree(edges)
     tree = cut(tree)
     if routed.copies.head(1):

@@ -7,7 +7,9 @@ them together. One rule holds at every size; the number of hashes follows the nu
 one representative (the smallest id) before anything is routed, so a group of copies never makes a
 bucket hot. Cells that stay too large (dense groups, which no hash splits) are compared in blocks: each shard of the own rows
 of such a cell meets each shard of its visitors in a block of its own, so no row is dropped and no further pair lost. Cells are
-taken in waves, each of which sends ``WAVE`` times the rows, so what lies on disk at once does not grow with the number of visits.
+taken in waves, each of which sends ``WAVE`` times the rows at most, and only once the rows where there are enough cells to keep all
+tasks busy, so what lies on disk at once does not grow with the number of visits. A wave takes cells that agree in their first
+hashes, so a row is followed only to these.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from siftspark.plans.scratch import cut, drop
 SHARE = 40_000  #: mean rows of a cell, without the visitors from neighbouring cells
 CELL_ROWS = 80_000  #: own rows from which a cell is compared in blocks of shards, as from twice as many with visitors: 61 MB of vectors of 64 numbers a block at most
 MARGIN = 0.7  #: how far a vector looks across the bounds of its cell; in this unit two unit vectors of cosine c are sqrt(2 - 2c) * a standard normal number apart along a direction
-WAVE = 2  #: rows sent at once for each row of the table
+WAVE = 2  #: rows sent at once for each row of the table, at most; one where every wave still has ``BUSY`` blocks for each task that runs at once
+BUSY = 2
 SAMPLE = 20_000  #: vectors that the medians are taken from, about; every row is indexed
 _FOLD = 2_000_000  #: candidate pairs held in a task before they are reduced
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -104,20 +107,28 @@ class Routing:
     shards: dict[int, tuple[int, int]] = field(default_factory=dict)
     tasks: dict[int, tuple[int, int]] = field(default_factory=dict)
 
-    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) pairs of unit vectors: first the own cells of all, then all whose crossed bounds are within the margin together."""
+    def visits(self, x: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, own) of unit vectors: first the own cells of all, then all whose crossed bounds are within the margin together.
+
+        Of the cells ``among`` only, if given; paths that lead to none of them are left hash by hash.
+        """
         p = x @ self.directions.T - self.middle
-        rows, cost = np.arange(len(x)), np.zeros(len(x), np.float32)
+        rows, cost, own = np.arange(len(x)), np.zeros(len(x), np.float32), np.ones(len(x), bool)
         cells = (p > 0) @ (np.int64(1) << np.arange(p.shape[1], dtype=np.int64))
         for i in range(p.shape[1]):
             c = cost + p[rows, i] ** 2
             m = c <= MARGIN**2
             rows, cells, cost = np.concatenate([rows, rows[m]]), np.concatenate([cells, cells[m] ^ np.int64(1 << i)]), np.concatenate([cost, c[m]])
-        return rows, cells
-
-    def blocks(self, rows: np.ndarray, cells: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            own = np.concatenate([own, np.zeros(m.sum(), bool)])
+            if among is not None:
+                # the hashes up to this one are settled
+                first = np.int64((2 << i) - 1)
+                m = np.isin(cells & first, np.unique(among & first))
+                rows, cells, cost, own = rows[m], cells[m], cost[m], own[m]
+        return rows, cells, own
+
+    def blocks(self, rows: np.ndarray, cells: np.ndarray, own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, block, asks) of visits: a cell as it is, or the blocks of pairs of shards that the row takes part in."""
-        own = np.arange(len(rows)) < len(ids)
         if not self.shards:
             return rows, cells, own
         m = np.isin(cells, np.fromiter(self.shards, np.int64))
@@ -190,7 +201,7 @@ def route(vectors: DataFrame, dim: int, n: int, share: int = SHARE, cell_rows: i
             with np.errstate(over="ignore"):
                 h = [(bits * m).sum(axis=1) for m in mix]
                 h = [((a ^ (a >> np.uint64(31))) * _K2).astype(np.int64) for a in h]
-            rows, cells = routing.visits(_units(x))
+            rows, cells, _ = routing.visits(_units(x))
             order = np.argsort(rows, kind="stable")
             counts = np.bincount(rows, minlength=len(x))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(cells[order]))
@@ -206,12 +217,13 @@ def route(vectors: DataFrame, dim: int, n: int, share: int = SHARE, cell_rows: i
     # one row a cell: about n / share of them
     own = F.count_if(F.col("pos") == 0).alias("own")
     sizes = {r["cell"]: (r["own"], r["n"]) for r in reps(narrow).select(F.posexplode("cells").alias("pos", "cell")).groupBy("cell").agg(own, F.count(F.lit(1)).alias("n")).filter("own > 0").collect()}
+    drop(narrow)
     kept = cut(reps(vectors))
-    for old in (vectors, narrow):
-        drop(old)
+    drop(vectors)
     sent: dict[int, float] = {}
     loads: dict[int, float] = {}
-    for cell, (own_, n_) in sizes.items():
+    # cells that agree in their first hashes are neighbours in this order
+    for cell, (own_, n_) in sorted(sizes.items(), key=lambda c: f"{c[0]:063b}"[::-1]):
         asking, among = math.ceil(own_ / cell_rows), math.ceil(n_ / (2 * cell_rows))
         blocks = [cell]
         if asking * among > 1:
@@ -221,14 +233,21 @@ def route(vectors: DataFrame, dim: int, n: int, share: int = SHARE, cell_rows: i
             sent[block] = n_ / among + own_ / asking * (len(blocks) > 1)
             loads[block] = sent[block] + 4 * own_ / asking
     spark = kept.sparkSession
-    waves = max(1, math.ceil(sum(sent.values()) / (WAVE * max(n, share))))
-    most = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    tasks = max(1, min(most, -(-len(loads) // waves)))
-    free = [(0, t, w) for t in range(tasks) for w in range(waves)]
-    for block in sorted(loads, key=lambda c: (-loads[c], c)):
-        used, t, w = heapq.heappop(free)
-        routing.tasks[block] = w, t
-        heapq.heappush(free, (used + loads[block], t, w))
+    at_once = spark.sparkContext.defaultParallelism
+    total, rows = sum(sent.values()), max(n, share)
+    waves = max(1, math.ceil(total / (WAVE * rows)), min(math.ceil(total / rows), len(sent) // (BUSY * at_once)))
+    before, members = 0.0, [[] for _ in range(waves)]
+    for block, size in sent.items():
+        members[min(waves - 1, int((before + size / 2) * waves / total))].append(block)
+        before += size
+    most = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), at_once)
+    tasks = max(1, min(most, max(map(len, members))))
+    for w, blocks in enumerate(members):
+        free = [(0, t) for t in range(tasks)]
+        for block in sorted(blocks, key=lambda c: (-loads[c], c)):
+            used, t = heapq.heappop(free)
+            routing.tasks[block] = w, t
+            heapq.heappush(free, (used + loads[block], t))
     return Routed(kept, copies, routing, waves, tasks)
 
 
@@ -236,11 +255,14 @@ def _sent(vectors: DataFrame, routed: Routed, dim: int, wave: int) -> DataFrame:
     """(task, cell, asks, id, v, ...) of the cells and blocks of a wave, with what else ``vectors`` has."""
     routing = routed.routing
     here = {c: t for c, (w, t) in routing.tasks.items() if w == wave}
-    shared = vectors.sparkSession.sparkContext.broadcast((routing.directions, routing.middle, routing.shards, here))
+    cut_up = {int(block_number(c, i)): c for c, (p, q) in routing.shards.items() for i in range(p * q)}
+    cells_here = np.array(sorted({cut_up.get(b, b) for b in here}), np.int64)
+    shards = {c: s for c, s in routing.shards.items() if c in set(cells_here.tolist())}
+    shared = vectors.sparkSession.sparkContext.broadcast((routing.directions, routing.middle, shards, here, cells_here))
     more = [f for f in vectors.schema.fields if f.name not in ("id", "v")]
 
     def send(batches):
-        directions, middle, shards, tasks = shared.value
+        directions, middle, shards, tasks, among = shared.value
         r = Routing(directions, middle, shards)
         numbers = np.array(sorted(tasks), np.int64)
         of = np.array([tasks[c] for c in numbers.tolist()], np.int32)
@@ -249,7 +271,7 @@ def _sent(vectors: DataFrame, routed: Routed, dim: int, wave: int) -> DataFrame:
             if not len(x) or not len(numbers):
                 continue
             ids = np.asarray(batch.column(0))
-            rows, cells, asks = r.blocks(*r.visits(_units(x)), ids)
+            rows, cells, asks = r.blocks(*r.visits(_units(x), among), ids)
             # cells without rows of their own, and those of other waves, are in no task
             at = np.minimum(np.searchsorted(numbers, cells), len(numbers) - 1)
             m = numbers[at] == cells
@@ -408,4 +430,7 @@ def forest_edges(routed: Routed, dim: int, floor: float, core: DataFrame | None
     ``core`` (id, core) turns the weight into mutual reachability.
     """
     vectors = routed.vectors if core is None else cut(routed.vectors.join(core, "id"))
-    return _by_cell(routed, vectors, dim, lambda ids, x, c, cell, asks: forest_in_cell(ids, x, floor, c, cell, asks)).dropDuplicates(["a", "b"])
+    found = _by_cell(routed, vectors, dim, lambda ids, x, c, cell, asks: forest_in_cell(ids, x, floor, c, cell, asks))
+    if core is not None:
+        drop(vectors)
+    return found.dropDuplicates(["a", "b"])

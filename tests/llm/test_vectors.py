@@ -97,6 +97,29 @@ def test_no_wave_sends_more_than_its_share_however_many_visits_there_are(spark,
     assert len(got & want) >= 0.98 * len(want)
 
 
+def test_with_cells_enough_for_all_tasks_a_wave_sends_each_row_about_once(spark):
+    x = grouped(groups=100, lone=1200)
+    r = routed(spark, frame(spark, x), len(x), share=20)
+    sent = [vectors._sent(r.vectors, r, DIM, wave).count() for wave in range(r.waves)]
+    assert sum(sent) > 2 * vectors.WAVE * len(x) and max(sent) <= 1.3 * len(x)
+    got = {(p["a"], p["b"]) for p in density.pairs_of_groups(density.tops(r, DIM, 0.85), "label", "id", "a", "b").collect()}
+    want = brute_groups(x, 0.85)
+    assert len(got & want) >= 0.98 * len(want) and got <= want
+
+
+@pytest.mark.parametrize("shards", [{}, {3: (2, 3), 20: (1, 2)}])
+def test_waves_together_make_all_visits(shards):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((500, DIM))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    directions, _ = vectors.projections(DIM, 1000, 5, 1.0, 7)
+    r = vectors.Routing(directions, np.zeros(5, np.float32), shards)
+    ids = np.arange(len(x)) * 7
+    blocks = lambda among=None: sorted(zip(*(c.tolist() for c in r.blocks(*r.visits(x, among), ids))))
+    parts = [np.array(part) for part in ([0, 16, 8], [3, 20], sorted(set(range(32)) - {0, 3, 8, 16, 20}))]
+    assert sorted(v for part in parts for v in blocks(part)) == blocks()
+
+
 def test_empty(spark):
     r = routed(spark, frame(spark, grouped()).limit(0), 0)
     assert vectors.nearest(r, DIM, 5, 0.85).count() == 0
